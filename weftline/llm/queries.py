@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality, recompress, repeats, token_ids
+from . import bpe, packing, pii, quality, recompress, repeats, suffixes, token_ids
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.find(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.find(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op3_recompression, op6_pii, op7_quality, op8_bpe, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op3_recompression, op5_suffix_array, op6_pii, op7_quality, op8_bpe, op10_packing)}
 ORACLES: dict[str, str] = {
     "op3_recompression": repeats.SQL.format(least=repeats.LEAST),
+    "op5_suffix_array": repeats.SQL.format(least=repeats.LEAST),
 }
