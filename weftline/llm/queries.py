@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality, recompress, repeats, suffixes, token_ids
+from . import bpe, packing, pii, quality, recompress, repeats, simhash, suffixes, token_ids
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.encode_table(table(spark, sf_dir, "documents"))[0]
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.find(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op3_recompression, op5_suffix_array, op6_pii, op7_quality, op8_bpe, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_recompression, op5_suffix_array, op6_pii, op7_quality, op8_bpe, op10_packing)}
 ORACLES: dict[str, str] = {
     "op3_recompression": repeats.SQL.format(least=repeats.LEAST),
     "op5_suffix_array": repeats.SQL.format(least=repeats.LEAST),
