@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality, recompress, repeats, simhash, suffixes, token_ids
+from . import bpe, packing, pii, quality, recompress, repeats, simhash, suffixes, token_ids, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.find(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.find(table(spark, sf_dir, "documents"))
 
@@ -44,8 +48,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_recompression, op5_suffix_array, op6_pii, op7_quality, op8_bpe, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_recompression, op4_topk, op5_suffix_array, op6_pii, op7_quality, op8_bpe, op10_packing)}
 ORACLES: dict[str, str] = {
     "op3_recompression": repeats.SQL.format(least=repeats.LEAST),
+    "op4_topk": topk.SQL.format(k=topk.K),
     "op5_suffix_array": repeats.SQL.format(least=repeats.LEAST),
 }
