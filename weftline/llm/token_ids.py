@@ -81,7 +81,7 @@ def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 20):
                 got = [np.array(coder.encode_ordinary(t), np.uint32) for t in texts_of(part, "text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in got], pa.int32()), pa.array([x.tobytes() if x.size and x.max() > 0xFFFF else x.astype(np.uint16).tobytes() for x in got], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -98,22 +98,22 @@ def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
-    for b in batches:
-        more = np.bincount(_ids(b)[0], minlength=len(total))
-        more[: len(total)] += total
-        total = more
+    for batch in batches:
+        for b in pieces(batch, "ids", 1 << 20):
+            more = np.bincount(_ids(b)[0], minlength=len(total))
+            more[: len(total)] += total
+            total = more
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
 
 def _code(ranks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, ends = _ids(b)
-            got = encode(ranks[ids], ends)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array([c for c, _ in got], pa.binary()), pa.array([d for _, d in got], pa.binary())], names=["doc_id", "n_tokens", "control", "data"])
+        for batch in batches:
+            for b in pieces(batch, "ids", 1 << 20):
+                ids, ends = _ids(b)
+                got = encode(ranks[ids], ends)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array([c for c, _ in got], pa.binary()), pa.array([d for _, d in got], pa.binary())], names=["doc_id", "n_tokens", "control", "data"])
 
     return run
 
