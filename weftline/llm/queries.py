@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality, recompress, repeats, simhash, suffixes, token_ids, topk
+from . import bpe, descent, packing, pii, quality, recompress, repeats, simhash, suffixes, token_ids, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +44,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_recompression, op4_topk, op5_suffix_array, op6_pii, op7_quality, op8_bpe, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_recompression, op4_topk, op5_suffix_array, op6_pii, op7_quality, op8_bpe, op9_nn_descent, op10_packing)}
 ORACLES: dict[str, str] = {
     "op3_recompression": repeats.SQL.format(least=repeats.LEAST),
     "op4_topk": topk.SQL.format(k=topk.K),
