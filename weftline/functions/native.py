@@ -14,6 +14,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, use) -> Column:
+    """use(x), with x worked out once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def ascii_lower(x: Column | str) -> Column:
     return F.translate(_col(x), _UPPER, _LOWER)
 
@@ -37,16 +42,19 @@ CHALLENGES = ("verify you are a human", "please complete the captcha", "solve th
 def response_error(body: Column | str, status: Column | str | None = None) -> Column:
     """Null for a page that is fit for use, else what is wrong with it."""
     body = _col(body)
-    low = ascii_lower(body)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     if status is not None:
         code = _col(status)
         out = F.when(code.isNull() | ~code.between(200, 299), F.concat(F.lit("HTTP status "), F.coalesce(code.cast("string"), F.lit("unknown"))))
     out = out.when(body.isNull() | (F.octet_length(body) < LEAST_BYTES), "invalid content - body is too short")
-    out = out.when(~low.contains("<html") & ~low.contains("<!doctype"), "invalid content - missing HTML markers")
-    for words in CHALLENGES:
-        out = out.when(low.contains(words), f"suspicious content - {words}")
-    return out
+
+    def content(low: Column) -> Column:
+        bad = F.when(~low.contains("<html") & ~low.contains("<!doctype"), "invalid content - missing HTML markers")
+        for words in CHALLENGES:
+            bad = bad.when(low.contains(words), f"suspicious content - {words}")
+        return bad
+
+    return out.otherwise(let(ascii_lower(body), content))
 
 
 def validate_response(body: Column | str, status: Column | str | None = None) -> Column:
@@ -133,26 +141,34 @@ _FILES = "avi css doc docx gif gz ico jpeg jpg js mov mp3 mp4 pdf png prod svg t
 
 def normalize_email(x: Column | str) -> Column:
     """The address in lower case, bare; empty if it is none."""
-    s = F.regexp_replace(_strip(_col(x)), "[,;.]+$", "")
-    left, right = F.instr(s, "<"), F.instr(s, ">")
-    s = F.when((left > 0) & (right > left), s.substr(left + 1, right - left - 1)).when((left > 0) & (right > 0), F.lit("")).otherwise(s)
-    safe = F.regexp_replace(F.replace(s, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    read = F.try_url_decode(safe)
-    s = F.when(s.contains("%") & read.isNotNull() & (~read.contains("�") | s.contains("�")), read).otherwise(s)
-    s = ascii_lower(_strip(s))
-    domain = F.substring_index(s, "@", -1)
-    ending = F.substring_index(domain, ".", -1)
-    good = (F.length(s) - F.length(F.replace(s, F.lit("@"), F.lit(""))) == 1) & domain.contains(".") & ending.rlike("^[a-z]{2,24}$") & ~ending.isin(*_FILES)
-    return F.when(_col(x).isNotNull(), F.when(good, s).otherwise(""))
+    def bare(s: Column) -> Column:
+        left, right = F.instr(s, "<"), F.instr(s, ">")
+        return F.when((left > 0) & (right > left), s.substr(left + 1, right - left - 1)).when((left > 0) & (right > 0), F.lit("")).otherwise(s)
+
+    def decoded(s: Column) -> Column:
+        # plus signs stay, and only whole escapes are read; what isn't UTF-8 then stays as it was
+        read = F.try_url_decode(F.regexp_replace(F.replace(s, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
+        return F.when(s.contains("%"), let(read, lambda r: F.when(r.isNotNull() & (~r.contains("\ufffd") | s.contains("\ufffd")), r).otherwise(s))).otherwise(s)
+
+    def checked(s: Column) -> Column:
+        domain = F.substring_index(s, "@", -1)
+        ending = F.substring_index(domain, ".", -1)
+        good = s.rlike("(?s)^[^@]*@[^@]*$") & domain.contains(".") & ending.rlike("^[a-z]{2,24}$") & ~ending.isin(*_FILES)
+        return F.when(good, s).otherwise("")
+
+    plain = let(F.regexp_replace(_strip(_col(x)), "[,;.]+$", ""), bare)
+    return let(ascii_lower(_strip(let(plain, decoded))), checked)
 
 
 def normalize_phone(x: Column | str) -> Column:
     """The digits, after a plus sign if there was one; extensions go."""
-    s = _strip(_col(x))
-    low = F.lower(s)
-    at = F.when(F.instr(low, " ext") > 0, F.instr(low, " ext")).otherwise(F.instr(low, " x"))
-    s = F.when(at > 0, s.substr(F.lit(1), at - 1)).otherwise(s)
-    return F.concat(F.when(s.startswith("+"), "+").otherwise(""), F.regexp_replace(s, "[^0-9]", ""))
+
+    def digits(s: Column) -> Column:
+        low = F.lower(s)
+        at = F.when(F.instr(low, " ext") > 0, F.instr(low, " ext")).otherwise(F.instr(low, " x"))
+        return let(F.when(at > 0, s.substr(F.lit(1), at - 1)).otherwise(s), lambda t: F.concat(F.when(t.startswith("+"), "+").otherwise(""), F.regexp_replace(t, "[^0-9]", "")))
+
+    return let(_strip(_col(x)), digits)
 
 
 def dedupe(items: Column | str, make=None) -> Column:

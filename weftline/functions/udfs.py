@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from . import dom, links, structured, text, urls
 
@@ -18,17 +19,17 @@ def _json(items: list) -> list[str]:
     return [structured.dump(x) for x in items]
 
 
-#: name: (SQL type, Arrow type, whether the page is read as a fragment, function of the tree and the address)
-PARTS: dict[str, tuple[str, pa.DataType, bool, Callable]] = {
-    "links": ("array<string>", _STRINGS, False, lambda r, u: links.page_links(r, u or "")),
-    "children": ("array<string>", _STRINGS, False, lambda r, u: links.child_links(r, u or "")),
-    "body": ("string", pa.string(), False, lambda r, u: text.body(r)),
-    "metadata": ("array<struct<key:string,value:string>>", _PAIRS, False, lambda r, u: [{"key": k, "value": v} for k, v in text.metadata(r)]),
-    "entities": ("array<string>", _STRINGS, False, lambda r, u: _json(structured.entities(r))),
-    "microformats": ("array<string>", _STRINGS, False, lambda r, u: _json(structured.microformats(r))),
-    "emails": ("array<string>", _STRINGS, True, lambda r, u: text.emails(r)),
-    "phones": ("array<string>", _STRINGS, True, lambda r, u: text.phones(r)),
-    "markdown": ("string", pa.string(), False, lambda r, u: text.to_markdown(r)),
+#: name: (type, whether the page is read as a fragment, function of the tree and the address)
+PARTS: dict[str, tuple[pa.DataType, bool, Callable]] = {
+    "links": (_STRINGS, False, lambda r, u: links.page_links(r, u or "")),
+    "children": (_STRINGS, False, lambda r, u: links.child_links(r, u or "")),
+    "body": (pa.string(), False, lambda r, u: text.body(r)),
+    "metadata": (_PAIRS, False, lambda r, u: [{"key": k, "value": v} for k, v in text.metadata(r)]),
+    "entities": (_STRINGS, False, lambda r, u: _json(structured.entities(r))),
+    "microformats": (_STRINGS, False, lambda r, u: _json(structured.microformats(r))),
+    "emails": (_STRINGS, True, lambda r, u: text.emails(r)),
+    "phones": (_STRINGS, True, lambda r, u: text.phones(r)),
+    "markdown": (pa.string(), False, lambda r, u: text.to_markdown(r)),
 }
 
 
@@ -36,19 +37,18 @@ def _parse(html: str, url: str | None, parts: Sequence[str]) -> list:
     trees: dict[bool, dom.Element] = {}
     out = []
     for p in parts:
-        piece = PARTS[p][2]
+        piece = PARTS[p][1]
         if piece not in trees:
             trees[piece] = dom.fragment(html) if piece else dom.document(html)
-        out.append(PARTS[p][3](trees[piece], url))
+        out.append(PARTS[p][2](trees[piece], url))
     return out
 
 
 def scrape(html: Column | str, url: Column | str | None, *parts: str) -> Column:
     """struct of the named parts (see PARTS) of each page, from one parse; null where html is null."""
-    kind = "struct<" + ",".join(f"{p}:{PARTS[p][0]}" for p in parts) + ">"
-    arrow = pa.struct([(p, PARTS[p][1]) for p in parts])
+    arrow = pa.struct([(p, PARTS[p][0]) for p in parts])
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(from_arrow_type(arrow))
     def run(pages: pa.Array, at: pa.Array) -> pa.Array:
         rows = (None if h is None else dict(zip(parts, _parse(h, u, parts))) for h, u in zip(pages.to_pylist(), at.to_pylist()))
         return pa.array(list(rows), arrow)
@@ -56,8 +56,8 @@ def scrape(html: Column | str, url: Column | str | None, *parts: str) -> Column:
     return run(html, F.lit(None).cast("string") if url is None else url)
 
 
-def _mapped(function: Callable[[str], object], kind: str, arrow: pa.DataType):
-    @F.arrow_udf(kind)
+def _mapped(function: Callable[[str], object], arrow: pa.DataType):
+    @F.arrow_udf(from_arrow_type(arrow))
     def run(values: pa.Array) -> pa.Array:
         coded = values.dictionary_encode()  # each distinct value is worked on once
         made = pa.array([function(v) for v in coded.dictionary.to_pylist()], arrow)
@@ -66,19 +66,19 @@ def _mapped(function: Callable[[str], object], kind: str, arrow: pa.DataType):
     return run
 
 
-normalize_url = _mapped(urls.normalize_url, "string", pa.string())
-normalize_social = _mapped(urls.normalize_social, "string", pa.string())
-normalize_domain = _mapped(urls.normalize_domain, "string", pa.string())
-normalize_text = _mapped(text.normalize_text, "string", pa.string())
-decode_entities = _mapped(text.decode_entities, "string", pa.string())
-is_social_url = _mapped(urls.is_social_url, "boolean", pa.bool_())
-to_markdown = _mapped(lambda h: text.to_markdown(dom.document(h)), "string", pa.string())
-text_emails = _mapped(lambda h: text.emails(dom.fragment(h)), "array<string>", _STRINGS)
-text_phones = _mapped(lambda h: text.phones(dom.fragment(h)), "array<string>", _STRINGS)
-merge_entities = _mapped(lambda s: _json(structured.fold([], structured.load(s))), "array<string>", _STRINGS)
+normalize_url = _mapped(urls.normalize_url, pa.string())
+normalize_social = _mapped(urls.normalize_social, pa.string())
+normalize_domain = _mapped(urls.normalize_domain, pa.string())
+normalize_text = _mapped(text.normalize_text, pa.string())
+decode_entities = _mapped(text.decode_entities, pa.string())
+is_social_url = _mapped(urls.is_social_url, pa.bool_())
+to_markdown = _mapped(lambda h: text.to_markdown(dom.document(h)), pa.string())
+text_emails = _mapped(lambda h: text.emails(dom.fragment(h)), _STRINGS)
+text_phones = _mapped(lambda h: text.phones(dom.fragment(h)), _STRINGS)
+merge_entities = _mapped(lambda s: _json(structured.fold([], structured.load(s))), _STRINGS)
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(from_arrow_type(_STRINGS))
 def normalize_urls(lists: pa.Array) -> pa.Array:
     """Each list's canonical addresses, first seen first, without empty ones."""
     return pa.array([None if x is None else list(dict.fromkeys(u for u in (urls.normalize_url(v) for v in x if v is not None) if u)) for x in lists.to_pylist()], _STRINGS)

@@ -50,13 +50,17 @@ def fetch(urls: DataFrame, snapshot: DataFrame, options: CrawlOptions = DEFAULT)
     return wanted.join(good, "canonical_url").select(*urls.columns, "canonical_url", "html")
 
 
+def _fit(profile: str):
+    return lambda a: (a["profile"] == profile) & native.response_error(a["html"], a["status"]).isNull()
+
+
 def choose_attempt(attempts, strategy: str = "auto"):
     """Of array<struct<profile, status, html, duration_ms>>: struct<html, profile_used, duration_ms, attempts> of the
     first profile in the strategy's order whose page is fit for use; null if none is."""
     attempts = F.col(attempts) if isinstance(attempts, str) else attempts
     tried = []
     for k, profile in enumerate(CASCADE[strategy]):
-        found = F.filter(attempts, lambda a, p=profile: (a["profile"] == p) & native.response_error(a["html"], a["status"]).isNull())
+        found = F.filter(attempts, _fit(profile))
         first = F.get(found, F.lit(0))
         tried.append(F.when(first.isNotNull(), F.struct(first["html"].alias("html"), F.lit(profile).alias("profile_used"), first["duration_ms"].cast("long").alias("duration_ms"), F.lit(k + 1).alias("attempts"))))
     return F.coalesce(*tried)

@@ -10,7 +10,7 @@ from ..functions import native, udfs
 
 def with_parts(pages: DataFrame, *parts: str, keep_html: bool = False) -> DataFrame:
     """pages with the parts as columns, from one parse of each page (one Arrow node in the plan)."""
-    # the marker keeps the optimizer from taking the call apart, which would parse once a part
+    # Spark doesn't merge the projections below, as that would repeat the call; filters on a part belong after a barrier
     read = pages.withColumn("_wl_page", udfs.scrape("html", "url" if "url" in pages.columns else None, *parts))
     columns = [c for c in pages.columns if (keep_html or c != "html") and c not in parts]
     return read.select(*columns, *(F.col("_wl_page")[p].alias(p) for p in parts))
