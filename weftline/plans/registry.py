@@ -290,13 +290,13 @@ def crawl_depth(spark, sf_dir):
 @query(f"SELECT DISTINCT {_PAGE} AS url FROM pages")
 def stream_children(spark, sf_dir):
     """On these pages every child list is the page itself, so the stream's result is the set of pages."""
-    urls = discover.read_urls(spark, f"{sf_dir}/pages.parquet", "page_id long, url string, html string")
+    urls = discover.read_urls(spark, f"{sf_dir}/page[s].parquet", "page_id long, url string, html string")
     return discover.drain(discover.discover_children(urls.select("url"), fetch.snapshot_of(_pages(spark, sf_dir))), "stream_children")
 
 
 @query(f"SELECT p.url, size FROM (SELECT url, {_PAGE} AS key FROM pages) p JOIN (SELECT {_PAGE} AS key, length(arg_min(html, url))::int AS size, octet_length(encode(arg_min(html, url))) AS n FROM pages GROUP BY 1) USING (key) WHERE n >= 500")
 def stream_fetch(spark, sf_dir):
-    urls = discover.read_urls(spark, f"{sf_dir}/pages.parquet", "page_id long, url string, html string")
+    urls = discover.read_urls(spark, f"{sf_dir}/page[s].parquet", "page_id long, url string, html string")
     return discover.drain(discover.fetch_stream(urls.select("url"), fetch.snapshot_of(_pages(spark, sf_dir))).select("url", F.length("html").alias("size")), "stream_fetch")
 
 

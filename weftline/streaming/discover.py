@@ -33,7 +33,8 @@ def children_stream(urls: DataFrame, snapshot: DataFrame, options: CrawlOptions
 
 
 def read_urls(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
-    """A stream of the rows of Parquet files as they arrive; so many files a batch."""
+    """A stream of the rows of Parquet files as they arrive; so many files a batch. The path is a folder or a pattern
+    (a single file has to be given as a pattern)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
