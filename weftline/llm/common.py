@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -30,6 +31,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---- columns that only pass through ---------------------------------------------------------------------------
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): all other columns in one struct, so that none of them clashes with a name used here."""
+    rest = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest or [F.lit(True).alias("none")]).alias("rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns again, in their order."""
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in columns))
+
+
 # ---- cutting lineage ------------------------------------------------------------------------------------------
 
 

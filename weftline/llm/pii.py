@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import packed_rows, pieces, unpacked
 
 ROUNDS = 8
 _DAYS = (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -290,9 +291,8 @@ def _run(key: bytes, back: bool, columns: list[str], count: str | None):
 def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) -> DataFrame:
     """docs with the personal values in `text` replaced; `n_chars`, if there is such a column, follows by itself, as
     every pseudonym has the length of its value except IPv4 addresses and dates written with single digits."""
-    from pyspark.sql import functions as F
-
-    out = docs.mapInArrow(_run(key, back, docs.columns, None), docs.schema)
+    rows = packed_rows(docs)
+    out = unpacked(rows.mapInArrow(_run(key, back, rows.columns, None), rows.schema), docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, pieces, texts_of, words_of
+from .common import batch_of, packed_rows, pieces, texts_of, unpacked, words_of
 
 #: Documented bound: the model is fitted on at most so many labelled documents (those first by a hash of the id).
 FIT_ROWS = 20_000
@@ -194,4 +194,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, r
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """docs without the rows that the classifier rejects; all columns stay."""
     model = fit(docs, labels, rows)
-    return docs.mapInArrow(_scored(model, threshold, True), docs.schema)
+    rows = packed_rows(docs)
+    return unpacked(rows.mapInArrow(_scored(model, threshold, True), rows.schema), docs.columns)

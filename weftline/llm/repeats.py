@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, pieces, shuffle_width, texts_of, words_of
+from .common import hash_words, mix, packed_rows, pieces, shuffle_width, texts_of, unpacked, words_of
 
 LEAST = 50
 
@@ -49,15 +49,16 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 PART = 8 << 20
 
 
-def unique_ids(docs: DataFrame, *others: str) -> DataFrame:
-    """(doc_id, text, others): one row for each id that isn't null. Of rows that repeat an id, the first by
-    text (null, then by value) counts; only such rows are shuffled for it."""
-    rows = docs.where("doc_id is not null").select("doc_id", "text", *others)
+def unique_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, text[, rest]): one row for each id that isn't null. Of rows that repeat an id, the first by text
+    (null, then by value) counts, then by the rest; only such rows are shuffled for it."""
+    columns = ["doc_id", "text"] + (["rest"] if docs.columns == ["doc_id", "text", "rest"] else [])
+    rows = docs.where("doc_id is not null").select(*columns)
     again = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return rows
-    first = Window.partitionBy("doc_id").orderBy(*(F.col(c).asc_nulls_first() for c in ("text", *others)))
-    some = rows.join(again, "doc_id", "left_semi").withColumn("_wl_nth", F.row_number().over(first)).where("_wl_nth = 1").drop("_wl_nth")
+    first = Window.partitionBy("doc_id").orderBy(*(F.col(c).asc_nulls_first() for c in columns[1:]))
+    some = rows.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     return rows.join(again, "doc_id", "left_anti").unionByName(some)
 
 
@@ -210,26 +211,24 @@ def spans(found: DataFrame, least: int) -> DataFrame:
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without their copied words: what remains is joined by the white space that preceded it. Documents of
     which nothing remains go; those without copies, and rows with a null id, stay as they are. n_chars follows."""
-    columns = docs.columns
-    one = unique_ids(docs, *(c for c in columns if c not in ("doc_id", "text")))
-    runs = found.where("copy").groupBy(F.col("doc_id").alias("_wl_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_wl_runs"))
-    joined = one.join(runs, F.col("doc_id") == F.col("_wl_id"), "left")
-    plain = joined.where("_wl_runs is null").select(*columns)
+    columns, rows = docs.columns, packed_rows(docs)
+    runs = found.where("copy").groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    joined = unique_ids(rows).join(runs, F.col("doc_id") == F.col("id"), "left")
+    plain = joined.where("runs is null").select("doc_id", "text", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                new = [remaining(t, r) for t, r in zip(part.column("text").to_pylist(), part.column("_wl_runs").to_pylist())]
+                new = [remaining(t, r) for t, r in zip(part.column("text").to_pylist(), part.column("runs").to_pylist())]
                 keep = [i for i, t in enumerate(new) if t]
                 out = part.take(pa.array(keep, pa.int64()))
                 texts = pa.array([new[i] for i in keep], part.schema.field("text").type)
-                yield pa.RecordBatch.from_arrays([texts if c == "text" else out.column(c) for c in columns], names=columns)
+                yield pa.RecordBatch.from_arrays([out.column("doc_id"), texts, out.column("rest")], names=["doc_id", "text", "rest"])
 
-    changed = joined.where("_wl_runs is not null").select(*columns, "_wl_runs").mapInArrow(run, docs.select(*columns).schema)
+    changed = unpacked(joined.where("runs is not null").select("doc_id", "text", "rest", "runs").mapInArrow(run, rows.schema), columns)
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    rest = docs.where("doc_id is null")
-    return plain.unionByName(changed).unionByName(rest).select(*columns)
+    return unpacked(plain, columns).unionByName(changed).unionByName(docs.where("doc_id is null"))
 
 
 def remaining(text: str, runs: list[dict]) -> str:

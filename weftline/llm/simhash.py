@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, mix, pieces, texts_of, words_of
+from .common import Written, mix, packed_rows, pieces, texts_of, unpacked, words_of
 from .components import components
 from .repeats import unique_ids
 
@@ -313,7 +313,6 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group; columns stay. Rows with a null id stay, as do those without words."""
     gone = Written(docs.sparkSession).put("gone", groups(docs, radius).where("not kept").select("doc_id"))
-    columns = docs.columns
-    one = unique_ids(docs, *(c for c in columns if c not in ("doc_id", "text")))
     # Spark broadcasts the ids if the table written is small enough for it, else it shuffles
-    return one.join(gone, "doc_id", "left_anti").select(*columns).unionByName(docs.where("doc_id is null"))
+    one = unique_ids(packed_rows(docs)).join(gone, "doc_id", "left_anti")
+    return unpacked(one, docs.columns).unionByName(docs.where("doc_id is null"))
