@@ -172,7 +172,7 @@ def tokens(s: str) -> Iterator[tuple]:
         if closing:
             yield "end", tag
             continue
-        yield "start", tag, attrs, s[at - 2 : at - 1] == "/"
+        yield "start", tag, attrs, "/" in s[m.start() : at]
         if tag in RAW or tag in _RCDATA:
             if tag == "plaintext":
                 yield "text", s[at:]

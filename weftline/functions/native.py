@@ -157,7 +157,7 @@ def normalize_email(x: Column | str) -> Column:
         return F.when(good, s).otherwise("")
 
     plain = let(F.regexp_replace(_strip(_col(x)), "[,;.]+$", ""), bare)
-    return let(ascii_lower(_strip(let(plain, decoded))), checked)
+    return F.when(_col(x).isNotNull(), let(ascii_lower(_strip(let(plain, decoded))), checked))
 
 
 def normalize_phone(x: Column | str) -> Column:
