@@ -70,7 +70,7 @@ def filter_hosts(urls: DataFrame, allow: DataFrame | None = None, block: DataFra
     """For lists too long for literals, as tables (domain): semi and anti join on the host's own suffixes."""
     labels = F.split(native.host(column), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    out = urls.withColumn("_wl_row", F.struct(F.col(column))).withColumn("_wl_suffixes", suffixes)
+    out = urls.withColumn("_wl_suffixes", suffixes)
     for table, kind in ((block, "left_anti"), (allow, "left_semi")):
         if table is not None:
             hosts = out.select(native.host(column).alias("_wl_host"), F.explode("_wl_suffixes").alias("domain")).distinct().join(table.select("domain"), "domain", "left_semi").select("_wl_host").distinct()
