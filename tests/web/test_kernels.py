@@ -1,5 +1,7 @@
 """URL, tree, link, structured-data and text kernels on plain values."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -212,6 +214,18 @@ def test_contacts():
     assert text.phones(root) == ["+1 555", "(555) 123-4567", "+1-555-123-4567"]
 
 
+@given(st.text(alphabet=st.sampled_from("aB1.-_%+@ é,"), max_size=40))
+@settings(max_examples=500, deadline=None)
+def test_emails_are_those_of_the_plain_expression(s):
+    plain = re.compile(r"\b[a-z0-9._%+-]+@[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,24}\b", re.I)
+    s = s.replace(" ", " x@y.zz ", 1)
+    assert text.find_emails(s) == plain.findall(s)
+
+
+def test_long_runs_of_name_characters():
+    assert text.find_emails("a-" * 200_000 + " x@y.test " + "@" * 1000) == ["x@y.test"]
+
+
 def test_metadata():
     root = dom.document("<html lang=de><title> T </title><meta name=a property=b content=' v '><meta property=og:x content=y><meta name=n content=' '><meta charset=u>")
     assert text.metadata(root) == [("title", "T"), ("a", " v "), ("og:x", "y"), ("lang", "de")]

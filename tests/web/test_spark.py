@@ -98,6 +98,9 @@ def test_one_parse_a_page(spark):
     frame = rendered.table(spark, SMALL, "pages")
     plan = pages.with_parts(frame, "links", "metadata", "body").select("page_id", "links", "metadata", "body")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+    for stage in (pages.page_links(frame), pages.entities(frame, include=("A",)), pages.metadata(frame), pages.emails(frame)):
+        plan = stage._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, plan
     wanted = fetch.fetch(frame.select("url"), fetch.snapshot_of(frame))
     assert "ReadSchema: struct<url:string>" in wanted._jdf.queryExecution().executedPlan().toString()
 

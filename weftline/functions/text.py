@@ -31,7 +31,9 @@ def normalize_text(s: str) -> str:
 
 # ---- contacts -------------------------------------------------------------------------------------------------
 
-_EMAIL = re.compile(r"\b[a-z0-9._%+-]+@[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,24}\b", re.I)
+_DOMAIN = re.compile(r"@[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,24}\b", re.I)
+_LOCAL = re.compile(r"[a-z0-9._%+-]", re.I)
+_WORD = re.compile(r"\w")
 _PHONE = re.compile(r"(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}")
 
 
@@ -40,10 +42,28 @@ def _hrefs(root: Element, scheme: str) -> list[str]:
     return [x for x in (h[len(scheme) :].partition("?")[0].strip() for h in found) if x]
 
 
+def find_emails(text: str) -> list[str]:
+    """All addresses in a text, from left to right; a name begins at a word's edge. Every @ is looked at once, so long
+    runs of name characters cost no more than their length."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        m = _DOMAIN.match(text, at)
+        if m:
+            first = at
+            while first > free and _LOCAL.match(text[first - 1]):
+                first -= 1
+            edge = next((i for i in range(first, at) if bool(_WORD.match(text[i])) != (i > 0 and bool(_WORD.match(text[i - 1])))), None)
+            if edge is not None:
+                out.append(text[edge : m.end()])
+                free = m.end()
+        at = text.find("@", max(at + 1, free))
+    return out
+
+
 def emails(root: Element, text: str | None = None) -> list[str]:
     """Addresses in mailto links, then those in the text; as they stand, repeated ones too."""
     text = " ".join(root.texts()) if text is None else text
-    return _hrefs(root, "mailto:") + (_EMAIL.findall(text) if "@" in text else [])
+    return _hrefs(root, "mailto:") + find_emails(text)
 
 
 def phones(root: Element, text: str | None = None) -> list[str]:

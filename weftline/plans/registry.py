@@ -42,18 +42,22 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+def _to_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.spread(_pages(spark, sf_dir))
+
+
 # ---- links and addresses --------------------------------------------------------------------------------------
 
 
 @query(f"""SELECT DISTINCT {_PAGE} AS page, regexp_replace(rtrim({_ABSOLUTE}, '/'), '^https?://(www\\.)?', 'https://') AS link FROM ({_HREFS})""")
 def canonical_links(spark, sf_dir):
-    found = pages.page_links(_pages(spark, sf_dir).select("url", "html"))
+    found = pages.page_links(_to_parse(spark, sf_dir).select("url", "html"))
     return found.select(udfs.normalize_url("url").alias("page"), udfs.normalize_url("link").alias("link")).where("link <> ''").distinct()
 
 
 @query(f"SELECT page_id, pos::int AS pos, {_ABSOLUTE} AS link FROM ({_HREFS})")
 def page_links(spark, sf_dir):
-    return pages.page_links(_pages(spark, sf_dir)).select("page_id", "pos", "link")
+    return pages.page_links(_to_parse(spark, sf_dir)).select("page_id", "pos", "link")
 
 
 @query(f"SELECT DISTINCT {_PAGE} AS url FROM pages")
@@ -144,17 +148,17 @@ def whitespace(spark, sf_dir):
 @query(r"""SELECT page_id, 0 AS pos, 'title' AS key, trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), ' ' || chr(10) || chr(9)) AS value FROM pages
   UNION ALL SELECT page_id, 1, 'lang', regexp_extract(html, '<html lang="([^"]*)"', 1) FROM pages""")
 def page_metadata(spark, sf_dir):
-    return pages.metadata(_pages(spark, sf_dir)).select("page_id", "pos", "key", "value")
+    return pages.metadata(_to_parse(spark, sf_dir)).select("page_id", "pos", "key", "value")
 
 
 @query()
 def page_body(spark, sf_dir):
-    return pages.with_parts(_pages(spark, sf_dir), "body").select("page_id", "body")
+    return pages.with_parts(_to_parse(spark, sf_dir), "body").select("page_id", "body")
 
 
 @query()
 def page_markdown(spark, sf_dir):
-    return pages.with_parts(_pages(spark, sf_dir), "markdown").select("page_id", "markdown")
+    return pages.with_parts(_to_parse(spark, sf_dir), "markdown").select("page_id", "markdown")
 
 
 _FILLER = "repeat('These words make the page long enough. ', 12)"
@@ -166,33 +170,39 @@ def product_markdown(spark, sf_dir):
     return pages.with_parts(rendered.products(spark, sf_dir), "markdown", "body")
 
 
+@query(f"""SELECT 'https://shop.example.com/p/' || p_partkey AS url, 5 AS pairs, 2 AS entities, length('<body><h1></h1><p>A <b></b> of <a href="/brand/"></a></p><p></p></body>' || p_name || p_type || p_partkey || p_brand || {_FILLER})::int AS size FROM part""")
+def scrape_all(spark, sf_dir):
+    found = pages.with_parts(rendered.products(spark, sf_dir), "body", "metadata", "entities")
+    return found.select("url", F.size("metadata").alias("pairs"), F.size("entities").alias("entities"), F.length("body").alias("size"))
+
+
 # ---- contacts -------------------------------------------------------------------------------------------------
 
 
 @query(r"""SELECT DISTINCT lower(e) AS email FROM (SELECT unnest(regexp_extract_all(text, '(?i)\b[a-z0-9._%+-]+@[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,24}\b')) AS e FROM documents)
   WHERE NOT regexp_matches(lower(e), '\.(avi|css|doc|docx|gif|gz|ico|jpeg|jpg|js|mov|mp3|mp4|pdf|png|prod|svg|tar|webp|xls|xlsx|zip)$')""")
 def doc_emails(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.col("text").contains("@")).select(F.explode(udfs.text_emails("text")).alias("raw"))
+    rows = pages.rows_of(table(spark, sf_dir, "documents").where(F.col("text").contains("@")), udfs.text_emails("text"), "raw")
     return rows.select(native.normalize_email("raw").alias("email")).where("email <> ''").distinct()
 
 
 @query(r"""SELECT DISTINCT (CASE WHEN p LIKE '+%' THEN '+' ELSE '' END) || regexp_replace(p, '[^0-9]', '', 'g') AS phone FROM
   (SELECT unnest(regexp_extract_all(text, '(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}')) AS p FROM documents)""")
 def doc_phones(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d{4}")).select(F.explode(udfs.text_phones("text")).alias("raw"))
+    rows = pages.rows_of(table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d{4}")), udfs.text_phones("text"), "raw")
     return rows.select(native.normalize_phone("raw").alias("phone")).where("phone <> ''").distinct()
 
 
 @query("SELECT 'https://people.example.com/c/' || c_custkey AS url, 'c' || c_custkey || '@example.com' AS email FROM customer")
 def page_emails(spark, sf_dir):
     found = pages.with_parts(rendered.people(spark, sf_dir), "emails")
-    return found.select("url", F.explode(native.normalize_emails("emails")).alias("email"))
+    return pages.rows_of(found, native.normalize_emails("emails"), "email", "url").drop("pos")
 
 
 @query("SELECT 'https://people.example.com/c/' || c_custkey AS url, '555010' || lpad((c_custkey % 10000)::varchar, 4, '0') AS phone FROM customer")
 def page_phones(spark, sf_dir):
     found = pages.with_parts(rendered.people(spark, sf_dir), "phones")
-    return found.select("url", F.explode(native.normalize_phones("phones")).alias("phone"))
+    return pages.rows_of(found, native.normalize_phones("phones"), "phone", "url").drop("pos")
 
 
 # ---- structured data ------------------------------------------------------------------------------------------
@@ -212,7 +222,7 @@ def merged_people(spark, sf_dir):
 @query("""SELECT 'https://people.example.com/c/' || c_custkey AS url, pos, CASE pos WHEN 0 THEN '{"properties":{"email":["mailto:c' || c_custkey || '@example.com"],"name":["' || c_name || '"]},"type":["h-card"]}'
   ELSE '{"properties":{"name":["' || c_name || '"],"org":["' || c_mktsegment || '"],"tel":["555-010-' || lpad((c_custkey % 10000)::varchar, 4, '0') || '"]},"type":["h-card"]}' END AS item FROM customer, (VALUES (0), (1)) p(pos)""")
 def microformats(spark, sf_dir):
-    return pages.with_parts(rendered.people(spark, sf_dir), "microformats").select("url", F.posexplode("microformats").alias("pos", "item"))
+    return pages.rows_of(pages.with_parts(rendered.people(spark, sf_dir), "microformats"), "microformats", "item", "url")
 
 
 @query("""SELECT 'https://www.suppliers.example.com/s/' || s_suppkey || '/' AS url, '{"@id":"#s' || s_suppkey || '","@type":"Organization","identifier":"' || s_suppkey || '","location":{"@type":"Place","name":"' || n_name || '"},"name":"' || s_name || '"}' AS entity
@@ -229,7 +239,7 @@ def og_previews(spark, sf_dir):
 @query("SELECT 'https://shop.example.com/p/' || p_partkey AS url, pos, CASE pos WHEN 0 THEN 'Product' WHEN 1 THEN 'Offer' ELSE 'Thing' END AS type FROM part, (VALUES (0), (1), (2)) p(pos)")
 def schema_types(spark, sf_dir):
     found = pages.with_parts(rendered.products(spark, sf_dir), "entities")
-    return found.select("url", F.posexplode(native.schema_types("entities")).alias("pos", "type"))
+    return pages.rows_of(found, native.schema_types("entities"), "type", "url")
 
 
 @query("SELECT 'https://shop.example.com/p/' || p_partkey AS url, true AS offer, false AS person FROM part")
@@ -294,6 +304,13 @@ def stream_children(spark, sf_dir):
     return discover.drain(discover.discover_children(urls.select("url"), fetch.snapshot_of(_pages(spark, sf_dir))), "stream_children")
 
 
+@query(f"{_NATIONS} WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
+def stream_pages(spark, sf_dir):
+    """Seeds as a stream: their children, and the pages of these."""
+    seeds = discover.read_urls(spark, f"{sf_dir}/regio[n].parquet", "r_regionkey int").select(F.concat(F.lit("https://geo.example.com/r/"), "r_regionkey").alias("url"))
+    return discover.drain(discover.children_stream(seeds, _web(spark, sf_dir)).select("url"), "stream_pages")
+
+
 @query(f"SELECT p.url, size FROM (SELECT url, {_PAGE} AS key FROM pages) p JOIN (SELECT {_PAGE} AS key, length(arg_min(html, url))::int AS size, octet_length(encode(arg_min(html, url))) AS n FROM pages GROUP BY 1) USING (key) WHERE n >= 500")
 def stream_fetch(spark, sf_dir):
     urls = discover.read_urls(spark, f"{sf_dir}/page[s].parquet", "page_id long, url string, html string")
@@ -321,7 +338,15 @@ def phone_lists(spark, sf_dir):
 def url_lists(spark, sf_dir):
     at = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"), F.lit(".Example.com"))
     raw = F.array(at, F.concat(F.lit("http://www."), at, F.lit("/#top")), F.concat(F.lit("HTTPS://"), at, F.lit("/Path/?b=2&a=1&gclid=x")), F.concat(at, F.lit("/Path?a=1&b=2")), F.lit(""))
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(udfs.normalize_urls(raw)).alias("pos", "url"))
+    return pages.rows_of(table(spark, sf_dir, "nation"), udfs.normalize_urls(raw), "url", "n_nationkey")
+
+
+@query("SELECT n_nationkey, pos, CASE pos WHEN 0 THEN 'https://x.com/N' || n_nationkey WHEN 1 THEN '' ELSE 'https://x.com/n' || n_nationkey END AS url FROM nation, (VALUES (0), (1), (2)) p(pos)")
+def social_lists(spark, sf_dir):
+    """Repeats go, case and empty ones stay."""
+    k = F.col("n_nationkey").cast("string")
+    raw = F.array(F.concat(F.lit("https://x.com/N"), k), F.lit(""), F.concat(F.lit("https://x.com/N"), k), F.concat(F.lit("https://x.com/n"), k), F.lit(""))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(native.dedupe(raw)).alias("pos", "url"))
 
 
 @query("SELECT DISTINCT CASE n_nationkey % 2 WHEN 0 THEN 'n' || n_nationkey || '.example.com' ELSE 'xn--mnich-kva.example.com' END AS domain FROM nation")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.pages import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +30,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each part, with JSON-LD in a graph, preview tags and an offer."""
     data = '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"Product","sku":"@@p_partkey@@","name":"@@p_name@@","brand":{"@type":"Brand","name":"@@p_brand@@"}},{"@type":["Offer","Thing"],"price":"@@p_size@@"}]}</script>'
     head = f'<title> @@p_name@@ </title><meta name="description" content="@@p_type@@ item"><meta property="og:title" content="other"><meta property="og:image" content="/img/@@p_partkey@@.png"><meta name="blank" content=" ">{data}'
-    return table(spark, sf_dir, "part").select(_fill("https://shop.example.com/p/@@p_partkey@@").alias("url"), _page(head, "<h1>@@p_name@@</h1><p>A <b>@@p_type@@</b> of <a href=\"/brand/@@p_partkey@@\">@@p_brand@@</a></p>").alias("html"))
+    return spread(table(spark, sf_dir, "part")).select(_fill("https://shop.example.com/p/@@p_partkey@@").alias("url"), _page(head, "<h1>@@p_name@@</h1><p>A <b>@@p_type@@</b> of <a href=\"/brand/@@p_partkey@@\">@@p_brand@@</a></p>").alias("html"))
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<div class="vcard"><span class="fn">@@c_name@@</span> <span class="tel">555-010-@@line@@</span><span class="org">@@c_mktsegment@@</span></div>'
         '<p>Write to C@@c_custkey@@@Example.com or call <a href="tel:(555) 010-@@line@@ ext 5">us</a>.</p>'
     )
-    rows = table(spark, sf_dir, "customer").withColumn("line", F.lpad(F.pmod(F.col("c_custkey"), F.lit(10000)).cast("string"), 4, "0"))
+    rows = spread(table(spark, sf_dir, "customer")).withColumn("line", F.lpad(F.pmod(F.col("c_custkey"), F.lit(10000)).cast("string"), 4, "0"))
     return rows.select(_fill("https://people.example.com/c/@@c_custkey@@").alias("url"), _page("<title>@@c_name@@</title>", body).alias("html"))
 
 
