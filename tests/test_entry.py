@@ -31,7 +31,7 @@ class Gone:
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert "canonical_links" in e.queries() and "pipeline" not in e.queries()
-assert ("op1_token_ids" in e.queries()) == {"weftline.llm" not in gone}
+assert ("op1_token_ids" in e.queries()) == {"weftline.llm" not in gone and (ROOT / "weftline" / "llm").exists()}
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
