@@ -5,9 +5,14 @@ random hyperplanes). In a round every vector meets the neighbours of its neighbo
 and those that have it as a neighbour, all pairs of them of which one is new are compared, and pairs that improve a list
 enter it. Rounds go on while they find new pairs above the threshold. Then lists that are saturated, full of neighbours
 above the threshold, are enlarged: threshold edges tie near-copies into connected components, and within a component
-every vector's list is enlarged to the whole component at once, whose pairs are compared exactly, block by block. The
-result's recall is audited: for AUDIT vectors (the first by a hash of the id) all true neighbours are found by brute
-force, and while fewer than TARGET of them were found the graph is refined further with lists twice as long.
+every vector's list is enlarged to the whole component at once, whose pairs are compared exactly, block by block.
+
+The result's recall is audited. Samples of vectors (by a hash of the id) are drawn, and all their true neighbours found
+by brute force, until ENOUGH of them have neighbours and lie outside enlarged components, or the whole table is drawn.
+A vector's recall is the share found of its own neighbours. The mean over the vectors outside enlarged components and
+the mean over those inside must each reach TARGET, so that neither hides what the other lost. While they don't, the
+graph is refined further with another guess and lists twice as long; after TRIES of that all pairs of the table are
+compared, block by block, and the result is exact.
 
 Vectors and lists are exchanged as packed arrays between buckets of ids; nothing that grows with the table is
 broadcast. In the graph's exchange vectors have 16 bits an element; similarities in the result come from 32.
@@ -20,7 +25,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log2
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,13 @@ from .components import components
 from .vectors import bucket_of, by_bucket, matrix, valid
 
 THRESHOLD = 0.95
-K, ROUNDS = 12, 8
-GUESSES, GUESS_SIZE = 4, 16
+K = 12
+#: At least so many tables a guess, and as many as let a pair at the threshold meet in one with this probability.
+GUESSES, GUESS_SIZE, MEETS = 4, 16, 0.95
 #: In the graph's rounds a node with more neighbours than this meets them in groups of so many.
 MEET = 128
-AUDIT, TARGET = 1024, 0.95
+#: Vectors of the first sample (later ones are up to AUDIT_MOST times as large), and those needed outside enlarged components.
+AUDIT, AUDIT_MOST, ENOUGH, TARGET, TRIES = 1024, 8, 512, 0.95, 4
 #: Approximate similarities may be off by this; it is allowed for when edges are tied into components.
 SLACK = 0.01
 
@@ -80,16 +87,22 @@ def _vectors(b: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(v.as_buffer(), np.float32).reshape(-1, dim)
 
 
-def _guess(buckets: int, dim: int, bits: int, seed: int):
+def _guesses(bits: int, threshold: float) -> int:
+    """Tables of a guess: the more signs must be equal, the more are needed."""
+    equal = (1 - acos(max(-1.0, min(1.0, threshold))) / pi) ** bits
+    return GUESSES if equal >= MEETS else max(GUESSES, ceil(log(1 - MEETS) / log1p(-max(equal, 1e-9))))
+
+
+def _guess(buckets: int, dim: int, bits: int, guesses: int, seed: int):
     """First lists: vectors with the same signs meet."""
-    planes = np.random.default_rng(seed).standard_normal((GUESSES, dim, bits)).astype(np.float32)
+    planes = np.random.default_rng(seed).standard_normal((guesses, dim, bits)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, v in _vectors(b, dim):
-                for g in range(GUESSES):
+                for g in range(guesses):
                     signs = (v @ planes[g] > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                    centre = signs * GUESSES + g
+                    centre = signs * guesses + g
                     yield _batch(MEMBERS, list(by_bucket(bucket_of(centre, buckets), centre, ids, v.astype(np.float16), np.full(len(ids), -2, np.float32), np.ones(len(ids), np.uint8))))
 
     return run
@@ -247,7 +260,15 @@ def _within(rows: DataFrame, dim: int, roots: DataFrame, threshold: float, table
     return keyed.groupBy("bucket").applyInArrow(_exact(threshold, dim), "a long, b long, similarity double")
 
 
-def near(table: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+def _everything(rows: DataFrame, dim: int, n: int, threshold: float, block: int = 4096) -> DataFrame:
+    """All pairs of the table, compared exactly; every two blocks of rows meet in a group of their own."""
+    blocks = ceil(n / block)
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = own.select(F.lit(0).cast("long").alias("root"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "v")
+    return sent.groupBy("i", "j").applyInArrow(_exact(threshold, dim), "a long, b long, similarity double")
+
+
+def near(table: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     spark = table.sparkSession
     tables = Written(spark)
     rows, dim = valid(table, zero=False)
@@ -258,54 +279,85 @@ def near(table: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     vectors = tables.put("vectors", rows.mapInArrow(_pack(buckets, dim), ROW))
     bits = min(40, max(1, round(log2(max(2, n / GUESS_SIZE)))))
+    guesses = _guesses(bits, threshold)
 
     def exchange(df: DataFrame, take) -> DataFrame:
         return df.groupBy("bucket").applyInArrow(take, ROW)
 
-    graph, turn, made, result = None, 0, 0, None
-    for attempt in range(4):
-        # a (further) guess, then rounds until none finds new pairs above the threshold
-        guess = exchange(vectors.mapInArrow(_guess(buckets, dim, bits, attempt), ROW), _meet(buckets, dim))
-        found = guess if graph is None else guess.union(graph.mapInArrow(_old, ROW))
+    graph, made, audit, large = None, 0, Audit(rows, dim, n, threshold, tables), k
+    for attempt in range(TRIES):
+        # a (further) guess, then rounds until one finds no new pair above the threshold
+        guess = exchange(vectors.mapInArrow(_guess(buckets, dim, bits, guesses, attempt), ROW), _meet(buckets, dim))
+        found, first = guess if graph is None else guess.union(graph.mapInArrow(_old, ROW)), True
         while True:
             made += 1
             after = tables.put(f"graph{made}", exchange(found, _merge(k)))
             if graph is not None:
                 tables.drop(f"graph{made - 1}")
             graph = after
-            if turn >= rounds * (attempt + 1) or graph.mapInArrow(_close(threshold, True), "a long, b long").isEmpty():
+            if not first and graph.mapInArrow(_close(threshold, True), "a long, b long").isEmpty():
                 break
-            turn += 1
+            first = False
             everything = vectors.union(graph).union(graph.mapInArrow(_reverse(buckets), ROW))
             members = exchange(everything, _send(buckets, dim, k))
             found = exchange(members, _meet(buckets, dim)).union(graph.mapInArrow(_old, ROW))
         close = graph.mapInArrow(_close(threshold, False), "a long, b long")
-        roots = components(close, tables, f"cc{attempt}")
+        roots = tables.put(f"roots{attempt}", components(close, tables, f"cc{attempt}"))
         result = tables.put(f"pairs{attempt}", _within(rows, dim, roots, threshold, tables))
-        if recall(rows, dim, result, threshold) >= TARGET:
-            break
+        enlarged = roots.join(roots.groupBy("root").count().where(F.col("count") > large), "root").select("id")
+        if audit.recall(result, enlarged) >= TARGET:
+            return result
+        tables.drop(f"roots{attempt}", f"pairs{attempt}")
         k *= 2
-    return result
+    return tables.put("pairs", _everything(rows, dim, n, threshold))
+
+
+class Audit:
+    """The true neighbours of a growing sample of the rows, by brute force; they are found once for all tries."""
 
+    def __init__(self, rows: DataFrame, dim: int, n: int, threshold: float, tables: Written):
+        self.rows, self.dim, self.threshold, self.tables = rows, dim, threshold, tables
+        self.parts, self.at, self.wanted = ceil(n / AUDIT), 0, []
 
-def recall(rows: DataFrame, dim: int, pairs: DataFrame, threshold: float, audit: int = AUDIT) -> float:
-    """The share found of the true neighbours of `audit` vectors, which brute force finds; 1 if they have none."""
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(audit).toArrow().combine_chunks()  # bounded by `audit`
-    if not some.num_rows:
-        return 1.0
-    ids, v = some["id"].to_numpy(), matrix(some["v"].chunk(0), dim).astype(np.float64)
+    def recall(self, pairs: DataFrame, enlarged: DataFrame) -> float:
+        """The mean recall of the sampled vectors that have neighbours, inside or outside enlarged components, whichever
+        is less; 1 if none has any."""
+        if not self.wanted:
+            self._draw()
+        while True:
+            wanted = self.wanted[0]
+            for more in self.wanted[1:]:
+                wanted = wanted.union(more)
+            hit = wanted.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("id").agg((F.count("hit") / F.count("*")).alias("share"))
+            means = hit.join(enlarged.withColumn("inside", F.lit(True)), "id", "left").groupBy(F.coalesce("inside", F.lit(False)).alias("inside")).agg(F.count("*").alias("rows"), F.avg("share").alias("mean")).collect()  # two rows
+            if self.at >= self.parts or sum(m["rows"] for m in means if not m["inside"]) >= ENOUGH:
+                return min([1.0, *(m["mean"] for m in means)])
+            self._draw()
+
+    def _draw(self) -> None:
+        step = min(AUDIT_MOST, max(1, self.at), self.parts - self.at)
+        sample = self.rows.where(F.pmod(F.xxhash64("id"), F.lit(self.parts)).between(self.at, self.at + step - 1)).toArrow().combine_chunks()  # about AUDIT * AUDIT_MOST rows at most
+        self.wanted.append(self.tables.put(f"audit{self.at}", self.rows.mapInArrow(_true(sample, self.dim, self.threshold), "id long, a long, b long")))
+        self.at += step
+
+
+def _true(sample: pa.Table, dim: int, threshold: float):
+    """(id, a, b): the pairs above the threshold of each vector of the sample with any other."""
+    empty = not sample.num_rows
+    ids = np.zeros(0, np.int64) if empty else sample["id"].to_numpy()
+    v = np.zeros((0, dim)) if empty else matrix(sample["v"].chunk(0), dim).astype(np.float64)
     v = (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)
 
-    def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = matrix(b.column("v"), dim)
-                x = x / np.sqrt((x * x).sum(1))[:, None]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                x = matrix(b.column("v"), dim).astype(np.float64)
+                x = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
                 i, j = np.nonzero(x @ v.T >= threshold + 1e-6)
                 p, q = b.column("id").to_numpy()[i], ids[j]
                 ok = p != q
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[ok]), pa.array(np.maximum(p, q)[ok])], names=["a", "b"])
+                p, q = p[ok], q[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q, np.minimum(p, q), np.maximum(p, q))], names=["id", "a", "b"])
 
-    wanted = rows.mapInArrow(true, "a long, b long").distinct()
-    got = wanted.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return got[1] / got[0] if got[0] else 1.0
+    return run
