@@ -118,6 +118,29 @@ def test_pseudonyms_link_and_validate():
         assert p.text(untouched) == untouched
 
 
+NEIGHBOURS = [
+    ("4111 1111 1111 1111 12 items", ["4111 1111 1111 1111"]),
+    ("call 555-123-4567 4111 1111 1111 1111", ["555-123-4567", "4111 1111 1111 1111"]),
+    ("555-123-4567 078-05-1120", ["555-123-4567", "078-05-1120"]),
+    ("555-123-4567 2021-03-01", ["555-123-4567", "2021-03-01"]),
+    ("+1 555 123 4567 4111 1111 1111 1111", ["+1 555 123 4567", "4111 1111 1111 1111"]),
+    ("(4111 1111 1111 1111-12)", ["4111 1111 1111 1111"]),
+    ("at 2021-03-01T10:00:00Z", ["2021-03-01"]),
+]
+
+
+@pytest.mark.parametrize("text, values", NEIGHBOURS)
+def test_pseudonyms_of_neighbours(text, values):
+    for key in (KEY, *(bytes([i]) * 16 for i in range(20))):
+        p = pii.Pseudonyms(key)
+        new = p.text(text)
+        assert p.found == len(values) and pii.Pseudonyms(key, back=True).text(new) == text
+        for v in values:
+            assert v not in new
+        rest = re.split("|".join(map(re.escape, values)), text)
+        assert new.startswith(rest[0]) and new.endswith(rest[-1]) and len(new) == len(text)
+
+
 def test_pii_whole_table_comes_back(spark):
     frame = table(spark, SMALL, "documents")
     new = pii.pseudonymise(frame, KEY)

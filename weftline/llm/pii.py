@@ -9,6 +9,11 @@ the set), and the value with the resulting number takes its place. So a card sta
 a real date, a phone number keeps its brackets and its country code, and equal values get equal pseudonyms in every
 document, whatever separators or letter case they are written with; whoever has the key can go back (`reveal`).
 
+Numbers that stand together, apart by single spaces or dashes, are read in whatever way leaves most digits in valid
+values (`_spans`): every span of whole groups of digits is held against every format. What replaces them must be read
+in the same way, or they are replaced again, at most WALK times, as else `reveal` could take other spans; only in such
+a case a value gets another pseudonym than elsewhere. Past WALK times the first replacement stays, which may not come back.
+
 Not touched: numbers that fail validation, as they are then no card, address or date.
 
 Edge cases: a null text stays null, an empty one empty; very long texts are scanned whole; repeated rows get equal
@@ -34,6 +39,8 @@ from pyspark.sql import types as T
 from .common import packed_rows, pieces, unpacked
 
 ROUNDS = 8
+#: Times that the values of numbers that stand together are replaced until they are found alike again.
+WALK = 64
 _DAYS = (date(2100, 1, 1) - date(1900, 1, 1)).days
 _BASE = date(1900, 1, 1).toordinal()
 
@@ -209,20 +216,89 @@ def _hex(m: str, p) -> str | None:
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+", re.A)
 _SECRET = re.compile(r"""(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd)\s*[=:]\s*["'])([A-Za-z0-9_+/=-]{8,})(?=["'])""", re.A)
-_NUMBER = re.compile(
-    r"(?<![\w.+-])(?:"
-    r"(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\2\d{4})(?![\w-]|\.\d)"
-    r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|[-.]\d)"
-    r")"
-    r"|(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?<![+-])\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[-.]\d)",
-    re.A,
-)
+_DATE = re.compile(r"(?<![\w.+-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\1\d{4})(?=T\d|(?![\w-]|\.\d))", re.A)
+_IP = re.compile(r"(?<![\w.+-])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.A)
+_SSN = re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
+_PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?<![+-])\d{3}[.-]\d{3}[.-]\d{4}", re.A)
+_CARD = re.compile(r"\d(?:[ -]?\d){12,18}", re.A)
+#: How cards are usually grouped.
+_CARD_SHAPE = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}", re.A)
+#: Numbers that stand together; all that is looked for in them begins and ends with a group of digits.
+_REGION = re.compile(r"(?<!\d)[+(]{0,2}\d[\d ./()+-]{5,}", re.A)
+_GROUP = re.compile(r"[+(]?\d+", re.A)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
 _MAKERS = {"date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+
+
+def _same(x: int, *_) -> int:
+    return x
+
+
+def _candidates(s: str, i: int, ends: list[int]) -> Iterator[tuple[int, str, int]]:
+    """(end, kind, weight) of the valid values that begin at i; ends: where the groups of digits from there on end."""
+    before, before2 = s[i - 1 : i], s[i - 2 : i - 1] if i > 1 else ""
+    if s[i].isdigit():
+        for kind, pattern in (("date", _DATE), ("ip", _IP), ("ssn", _SSN)):
+            if (m := pattern.match(s, i)) and _MAKERS[kind](m.group(), _same):
+                yield m.end(), kind, 1000
+    word = before in _WORD
+    inner = before == "-" and before2.isdigit()
+    for end in ends:
+        value = s[i:end]
+        after = s[end : end + 1]
+        if after in _WORD or (after == "." and s[end + 1 : end + 2].isdigit()):
+            continue
+        dash = after == "-" and s[end + 1 : end + 2].isdigit()
+        if not word and before != "." and not dash and _PHONE.fullmatch(s, i, end) and _phone(value, _same):
+            yield end, "phone", 1000
+        if word or before in (".", "+") and before or before == "-" and not inner or not value[0].isdigit() or not _CARD.fullmatch(value):
+            continue
+        usual = _CARD_SHAPE.fullmatch(value)
+        if (inner or dash) and (not usual or "-" in value):
+            continue
+        if _card(value, _same):
+            yield end, "card", 1000 if usual else 1
+
+
+def _spans(s: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """The values in a region, (start, end, kind): of all ways to choose valid ones that don't overlap and consist of
+    whole groups of digits, the one that covers most digits, those of unusually grouped cards last."""
+    groups = [(m.start(), m.end()) for m in _GROUP.finditer(s, start, end)]
+    if taken:
+        groups = [g for g in groups if not any(i < g[1] and g[0] < j for i, j in taken)]
+    best: list[tuple[int, int, str, int]] = [(0, 0, "", 0)] * (len(groups) + 1)  # weight from a group on; groups to go on; kind; where it begins
+    for n in reversed(range(len(groups))):
+        best[n] = (best[n + 1][0], 1, "", 0)
+        i = groups[n][0]
+        upto, digits = n, 0
+        while upto < len(groups) and digits < 19 and groups[upto][0] - i < 48:
+            if upto > n and groups[upto][0] - groups[upto - 1][1] > 2:
+                break
+            digits += groups[upto][1] - groups[upto][0]
+            upto += 1
+        if digits < 4:
+            continue
+        ends = [g[1] for g in groups[n:upto]]
+        for begin in (i, i + 1) if s[i] == "(" else (i,):
+            for stop, kind, weight in _candidates(s, begin, ends):
+                if stop not in ends:
+                    continue
+                width = ends.index(stop) + 1
+                total = weight * len(_digits(s[begin:stop])) + best[n + width][0]
+                if total > best[n][0]:
+                    best[n] = (total, width, kind, begin)
+    out, n = [], 0
+    while n < len(groups):
+        _, width, kind, begin = best[n]
+        if kind:
+            out.append((begin, groups[n + width - 1][1], kind))
+        n += width
+    return out
+
+
 class Pseudonyms:
     """Replaces the personal values of texts; back: the inverse, for whoever has the key."""
 
@@ -239,25 +315,51 @@ class Pseudonyms:
         self.found += 1
         return new
 
-    def _number(self, m: re.Match) -> str:
-        kind = m.lastgroup
-        if kind != "card":
-            return self._use(_MAKERS[kind], m.group())
-        whole = m.group()
-        new = _card(whole, self.permute)
-        if new is not None:
-            self.found += 1
-            return new
-        # numbers set apart by single spaces are one match: each is tried by itself
-        return re.sub(r"\d{13,19}", lambda x: self._use(_card, x.group()), whole) if " " in whole else whole
+    def _numbers(self, s: str, taken: list[tuple[int, int]]) -> str:
+        out, at = [], 0
+        for m in _REGION.finditer(s):
+            if spans := _spans(s, m.start(), m.end(), taken):
+                out += [s[at : m.start()], self._region(s, m.start(), m.end(), spans, taken)]
+                at = m.end()
+        return "".join(out) + s[at:] if out else s
+
+    def _region(self, s: str, start: int, end: int, spans: list[tuple[int, int, str]], taken: list[tuple[int, int]]) -> str:
+        """All values of a region are replaced at once, again and again until the same spans are found in the result, so
+        that the way back finds them too."""
+        self.found += len(spans)
+        values, first, lo = [s[i:j] for i, j, _ in spans], None, max(0, start - 2)
+        for _ in range(WALK):
+            values = [_MAKERS[kind](v, self.permute) for v, (_, _, kind) in zip(values, spans)]
+            text, at, now, apart = s[lo:start], start, [], [(i - lo, j - lo) for i, j in taken if j > lo and i < end]
+            for v, (i, j, kind) in zip(values, spans):
+                text += s[at:i]
+                now.append((len(text), len(text) + len(v), kind))
+                apart = [(x + len(v) - j + i, y + len(v) - j + i) if x >= now[-1][0] else (x, y) for x, y in apart]
+                text, at = text + v, j
+            text += s[at:end]
+            new = text[start - lo :]
+            first = new if first is None else first
+            if _spans(text + s[end : end + 2], start - lo, len(text), apart) == now:
+                return new
+        return first
+
+    def _ibans(self, s: str) -> tuple[str, list[tuple[int, int]]]:
+        out, at, taken = [], 0, []
+        for m in _IBAN.finditer(s):
+            new = _iban(m.group(), self.permute)
+            if new is not None:
+                self.found += 1
+                out += [s[at : m.start()], new]
+                at = m.end()
+                taken.append((m.start(), m.end()))  # an IBAN keeps its length
+        return "".join(out) + s[at:], taken
 
     def text(self, s: str) -> str:
         if "=" in s or ":" in s:
             s = _SECRET.sub(lambda m: m.group()[: m.start(1) - m.start()] + self._use(_hex, m.group(1)), s)
         if "@" in s:
             s = _EMAIL.sub(lambda m: self._use(_email, m.group()), s)
-        s = _NUMBER.sub(self._number, s)
-        return _IBAN.sub(lambda m: self._use(_iban, m.group()), s)
+        return self._numbers(*self._ibans(s))
 
 
 #: For the registered queries; a real run passes its own secret.
