@@ -12,7 +12,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.llm import bpe, packing, pii, quality, token_ids
+from weftline.llm import bpe, packing, pii, quality, queries, token_ids
 from weftline.llm.common import table
 
 from ..oracles import SMALL
@@ -44,6 +44,15 @@ def test_token_ids_whole_table(spark):
         assert enc.decode(ids.tolist()) == texts[r["doc_id"]]
 
 
+def test_token_ids_decode_from_the_result(spark):
+    rows = queries.op1_token_ids(spark, SMALL).collect()
+    table_of = spark.read.parquet(rows[0]["ranks"]).orderBy("rank").toPandas()["id"].to_numpy()
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    enc = token_ids.tokenizer(token_ids.VOCABULARY)
+    for r in rows:
+        assert enc.decode(table_of[token_ids.decode(r["control"], r["data"], r["n_tokens"])].tolist()) == texts[r["doc_id"]]
+
+
 def test_token_ids_odd_rows(spark):
     coded, _ = token_ids.encode_table(odd_docs(spark))
     rows = coded.collect()

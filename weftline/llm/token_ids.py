@@ -7,7 +7,8 @@ with one to four bytes each: two bits a rank, four to a control byte, say how ma
 first, follow in a stream of their own. Decoding looks each control byte up in a table of 256 rows for the four lengths
 and gathers the bytes with numpy. The ranking is as large as the vocabulary, whatever the size of the corpus.
 
-Result: (doc_id, n_tokens, control, data), one row for each row of docs. Edge cases: null and empty texts have no
+Result: (doc_id, n_tokens, control, data, ranks), one row for each row of docs; ranks is the path of the table (rank, id)
+in the shared folder, with which the streams are decoded. Edge cases: null and empty texts have no
 tokens and empty streams; rows with a null doc_id are kept with it; repeated rows are coded alike and counted each
 time; an empty table gives an empty result; extra columns aren't read.
 """
@@ -21,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Written, pieces, texts_of
 
@@ -119,7 +121,7 @@ def _code(ranks: np.ndarray):
 
 
 def encode_table(docs: DataFrame, path: str = VOCABULARY) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_tokens, control, data), and for each rank the id that has it."""
+    """(doc_id, n_tokens, control, data, ranks), and for each rank the id that has it."""
     tables = Written(docs.sparkSession)
     ids = tables.put("ids", docs.select("doc_id", "text").mapInArrow(_tokenise(path), "doc_id long, n_tokens int, ids binary"))
     counts = ids.mapInArrow(_count, "id long, n long").groupBy("id").sum("n").toArrow()  # at most one row an id
@@ -129,4 +131,5 @@ def encode_table(docs: DataFrame, path: str = VOCABULARY) -> tuple[DataFrame, np
     by_rank = np.argsort(-n, kind="stable")
     ranks = np.empty(size, np.uint32)
     ranks[by_rank] = np.arange(size, dtype=np.uint32)
-    return ids.mapInArrow(_code(ranks), "doc_id long, n_tokens int, control binary, data binary"), by_rank
+    tables.put("ranks", docs.sparkSession.createDataFrame(pa.table({"rank": np.arange(size), "id": by_rank})))
+    return ids.mapInArrow(_code(ranks), "doc_id long, n_tokens int, control binary, data binary").withColumn("ranks", F.lit(tables.paths["ranks"])), by_rank
