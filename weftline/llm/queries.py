@@ -55,6 +55,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_recompression, op4_topk, op5_suffix_array, op6_pii, op7_quality, op8_bpe, op9_nn_descent, op10_packing)}
 ORACLES: dict[str, str] = {
     "op3_recompression": repeats.SQL.format(least=repeats.LEAST),
-    "op4_topk": topk.SQL.format(k=topk.K),
+    "op4_topk": topk.SQL.format(k=topk.K, every=topk.EVERY),
     "op5_suffix_array": repeats.SQL.format(least=repeats.LEAST),
 }
