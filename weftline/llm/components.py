@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,18 @@ def components(edges: DataFrame, tables: Written, name: str = "cc") -> DataFrame
             break
         now, state = after, mark
     return after.select(F.col("a").alias("id"), F.col("b").alias("root")).union(after.select("b", "b").distinct())
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """label: the smallest row known of each row's component; the pairs (a, b) are joined to it."""
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return label
+        low, high = np.minimum(la, lb), np.maximum(la, lb)
+        np.minimum.at(label, high, low)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up

@@ -56,5 +56,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_ids, op2_simhash,
 ORACLES: dict[str, str] = {
     "op3_recompression": repeats.SQL.format(least=repeats.LEAST),
     "op4_topk": topk.SQL.format(k=topk.K, every=topk.EVERY),
+    "op9_nn_descent": descent.SQL.format(threshold=descent.THRESHOLD),
     "op5_suffix_array": repeats.SQL.format(least=repeats.LEAST),
 }

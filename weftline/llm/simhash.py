@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, mix, packed_rows, pieces, texts_of, unpacked, words_of
-from .components import components
+from .components import components, forest
 from .repeats import unique_ids
 
 BITS, PARTS, WIDTH = 128, 8, 16
@@ -246,21 +246,6 @@ def verified_pairs(points: np.ndarray, value: np.ndarray, reach: np.ndarray, rad
         at += step
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """label: the smallest row known of each row's component; the pairs (a, b) are joined to it."""
-    while True:
-        la, lb = label[a], label[b]
-        if (la == lb).all():
-            return label
-        low, high = np.minimum(la, lb), np.maximum(la, lb)
-        np.minimum.at(label, high, low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-
-
 def _probe(units: list, radius: int):
     def take(t: pa.Table) -> pa.Table:
         points = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in t.column("points")])
