@@ -18,8 +18,13 @@ def odd_docs(spark):
         (4, long, "en", None, len(long)), (5, same, "en", "b", len(same)), (6, same, "en", "b", len(same)), (6, same, "en", "b", len(same)), (7, same + " tail", "en", "b", None), (7, None, "en", "b", 0),
         (8, "one", "en", "c", 3), (9, "ümläut 日本語 \U0001f600", "de", "c", 12),
     ]
-    extra = "id long, runs string, rest int, label int, score double, keep boolean, `a.b` string, nth int, gone string, start int, bucket int, lo long, group_id long, n long"
-    return spark.createDataFrame([(*r, 9, "r", 1, 1, 0.5, False, "x", 7, "g", 3, 2, 1, 5, 0) for r in rows], f"{SCHEMA}, {extra}")
+    extra = "id long, runs string, rest int, label int, score double, keep boolean, `a.b` string, nth int, gone string, start int, bucket int, lo long, group_id long, n long, map map<string,int>, list array<map<int,string>>, raw binary, inner struct<doc_id: int, m: map<int,int>>"
+    return spark.createDataFrame([(*r, 9, "r", 1, 1, 0.5, False, "x", 7, "g", 3, 2, 1, 5, 0, {"k": 1}, [{1: "a"}, {}], b"raw", (1, {2: 3})) for r in rows], f"{SCHEMA}, {extra}")
+
+
+def text_lengths(docs):
+    """docs whose n_chars is a string, which no operator may touch."""
+    return docs.drop("n_chars").selectExpr("*", "'x' AS n_chars")
 
 
 def empty_docs(spark):

@@ -11,7 +11,7 @@ from weftline.llm import packing, pii, quality, queries, repeats, simhash
 from weftline.llm.common import table
 
 from ..oracles import SMALL
-from .helpers import empty_docs, odd_docs
+from .helpers import empty_docs, odd_docs, text_lengths
 from .test_dedup_operators import brute_groups, brute_spans
 
 
@@ -67,12 +67,14 @@ def test_decisions_take_effect(spark):
 
 
 def test_odd_rows_pass_every_stage(spark):
-    for make in (odd_docs, empty_docs):
+    for make in (odd_docs, empty_docs, lambda s: text_lengths(odd_docs(s))):
         docs = make(spark)
-        columns = docs.columns
+        columns, kind = docs.columns, docs.schema["n_chars"].dataType
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            docs = spark.createDataFrame(stage(spark, docs, SMALL).toArrow()) if k < 4 else stage(spark, docs, SMALL)
+            docs = stage(spark, docs, SMALL)
             if k < 4:
-                assert docs.columns == columns
+                docs = docs.cache()
+                assert docs.columns == columns and docs.schema["n_chars"].dataType == kind
+                assert kind.typeName() != "string" or docs.where("n_chars <> 'x'").isEmpty()
         assert docs.columns == ["window_id", "doc_id", "piece", "start", "length", "at"]
         docs.collect()

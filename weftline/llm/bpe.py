@@ -8,7 +8,7 @@ back along the path. Words met before are not encoded again: a worker keeps a di
 CACHE words, which changes no result.
 
 Result: (doc_id, n_tokens, ids, exact): `exact` says that decoding the ids gives the text's bytes again; it is computed
-for every row. Edge cases: a null or empty text has no ids and is exact; rows with a null doc_id are kept with it; very
+for every row; `decode_table` gives the texts back. Edge cases: a null or empty text has no ids and is exact; rows with a null doc_id are kept with it; very
 long texts and words are encoded whole; repeated rows are encoded alike; extra columns aren't read.
 """
 
@@ -16,15 +16,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pieces, texts_of
-from .token_ids import PATTERN, VOCABULARY, ranks_of
+from .token_ids import PATTERN, VOCABULARY, ranks_of, ship
 
 CACHE = 500_000
+#: Bytes from which a word is long: its tokens are found by an automaton.
+LONG = 256
 
 
 class Coder:
@@ -39,7 +43,7 @@ class Coder:
             self.bytes[i] = token
         self.parts: dict[int, tuple[int, int]] = {}
         self.fits: dict[int, bool] = {}
-        self.size = size
+        self.size, self.automaton = size, None
         self.lengths = np.array([len(x) for x in self.bytes], np.int64)
         self.joined = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -106,14 +110,17 @@ class Coder:
                 while word[shared] == before[shared]:
                     shared += 1
             del state[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                for j in range(max(0, i - longest), i):
-                    t = ranks.get(word[j:i])
-                    if t is not None and (pair(state[j], t) if j else self._alone(t)):
-                        state.append(t)
-                        break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
+            if len(word) > LONG:
+                self._long(word, state, shared)
+            else:
+                for i in range(shared + 1, len(word) + 1):
+                    for j in range(max(0, i - longest), i):
+                        t = ranks.get(word[j:i])
+                        if t is not None and (pair(state[j], t) if j else self._alone(t)):
+                            state.append(t)
+                            break
+                    else:
+                        raise ValueError("the vocabulary lacks a byte")
             before = word
             ids, i = [], len(word)
             while i:
@@ -124,6 +131,27 @@ class Coder:
             out.append(ids)
         return out
 
+    def _long(self, word: bytes, state: list[int], shared: int) -> None:
+        """The states of a long word's prefixes; an automaton finds the tokens that end at each byte in one pass."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for token, i in self.ranks.items():
+                self.automaton.add_word(token.decode("latin-1"), i)
+            self.automaton.make_automaton()
+        names = self.bytes
+        for end, found in groupby(self.automaton.iter(word.decode("latin-1")), key=itemgetter(0)):
+            if end < shared:
+                continue
+            for t in sorted((t for _, t in found), key=lambda t: -len(names[t])):
+                j = end + 1 - len(names[t])
+                if self.pair(state[j], t) if j else self._alone(t):
+                    state.append(t)
+                    break
+        if len(state) != len(word) + 1:
+            raise ValueError("the vocabulary lacks a byte")
+
     def _alone(self, token: int) -> bool:
         """Whether a token's bytes encode as that token."""
         return len(self.bytes[token]) == 1 or self.split(token) is not None
@@ -157,7 +185,7 @@ class Encoder:
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one entry more than texts)."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or len(self.flat) > 8 * self.most:
             self.clear()
         cut = [self.cut(t) for t in texts]
         words = [w for c in cut for w in c]
@@ -199,4 +227,21 @@ def _run(path: str):
 
 
 def encode_table(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    path = ship(docs.sparkSession, path)
     return docs.select("doc_id", "text").mapInArrow(_run(path), "doc_id long, n_tokens int, ids array<int>, exact boolean")
+
+
+def _decode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = coder(path)
+        for batch in batches:
+            texts = [None if ids is None else code.decode(np.array(ids, np.int64)).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return run
+
+
+def decode_table(coded: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) of a table (doc_id, ids, ...); null ids give a null text, and bytes that aren't UTF-8 U+FFFD."""
+    path = ship(coded.sparkSession, path)
+    return coded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")

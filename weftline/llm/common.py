@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -49,6 +50,14 @@ def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in columns))
 
 
+def measured(docs: DataFrame, length: str | None) -> DataFrame:
+    """docs whose column `length`, if it is named and one of whole numbers, holds the length of the text, where that isn't
+    null, again."""
+    if length is None or length not in docs.columns or not isinstance(docs.schema[length].dataType, T.IntegralType):
+        return docs
+    return docs.withColumn(length, F.coalesce(F.length("text").cast(docs.schema[length].dataType), F.col(quoted(length))))
+
+
 # ---- cutting lineage ------------------------------------------------------------------------------------------
 
 

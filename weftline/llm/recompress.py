@@ -113,6 +113,6 @@ def find(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return spans(exchange(around, make, take, "doc_id long, marks array<int>", ("places",)), least)
 
 
-def drop_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with the copied words cut out of their texts; the columns stay."""
-    return cut(docs, find(docs, least))
+def drop_copies(docs: DataFrame, least: int = LEAST, length: str | None = None) -> DataFrame:
+    """docs with the copied words cut out of their texts; the columns stay. length: see repeats.cut."""
+    return cut(docs, find(docs, least), length)

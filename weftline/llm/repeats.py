@@ -18,10 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, packed_rows, pieces, shuffle_width, texts_of, unpacked, words_of
+from .common import hash_words, measured, mix, packed_rows, pieces, shuffle_width, texts_of, unpacked, words_of
 
 LEAST = 50
 
@@ -51,13 +52,14 @@ PART = 8 << 20
 
 def unique_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, text[, rest]): one row for each id that isn't null. Of rows that repeat an id, the first by text
-    (null, then by value) counts, then by the rest; only such rows are shuffled for it."""
+    (null, then by value) counts, then by the rest as JSON; only such rows are shuffled for it."""
     columns = ["doc_id", "text"] + (["rest"] if docs.columns == ["doc_id", "text", "rest"] else [])
     rows = docs.where("doc_id is not null").select(*columns)
     again = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return rows
-    first = Window.partitionBy("doc_id").orderBy(*(F.col(c).asc_nulls_first() for c in columns[1:]))
+    # not all types can be ordered, but all can be written
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *(F.to_json(c).asc_nulls_first() for c in columns[2:]))
     some = rows.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     return rows.join(again, "doc_id", "left_anti").unionByName(some)
 
@@ -208,27 +210,27 @@ def spans(found: DataFrame, least: int) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, start int, end int, copy boolean")
 
 
-def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
+def cut(docs: DataFrame, found: DataFrame, length: str | None = None) -> DataFrame:
     """docs without their copied words: what remains is joined by the white space that preceded it. Documents of
-    which nothing remains go; those without copies, and rows with a null id, stay as they are. n_chars follows."""
+    which nothing remains go; those without copies, and rows with a null id, stay as they are. length: a column of whole
+    numbers that holds the text's length and follows it."""
     columns, rows = docs.columns, packed_rows(docs)
     runs = found.where("copy").groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
-    joined = unique_ids(rows).join(runs, F.col("doc_id") == F.col("id"), "left")
-    plain = joined.where("runs is null").select("doc_id", "text", "rest")
+    joined = unique_ids(rows).join(runs, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "rest", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                new = [remaining(t, r) for t, r in zip(part.column("text").to_pylist(), part.column("runs").to_pylist())]
-                keep = [i for i, t in enumerate(new) if t]
-                out = part.take(pa.array(keep, pa.int64()))
-                texts = pa.array([new[i] for i in keep], part.schema.field("text").type)
-                yield pa.RecordBatch.from_arrays([out.column("doc_id"), texts, out.column("rest")], names=["doc_id", "text", "rest"])
-
-    changed = unpacked(joined.where("runs is not null").select("doc_id", "text", "rest", "runs").mapInArrow(run, rows.schema), columns)
-    if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return unpacked(plain, columns).unionByName(changed).unionByName(docs.where("doc_id is null"))
+                texts, copied = part.column("text"), part.column("runs").is_valid()
+                new = [remaining(t, r) for t, r in zip(texts.filter(copied).to_pylist(), part.column("runs").filter(copied).to_pylist())]
+                if new:
+                    new = pa.array([t or None for t in new], texts.type)
+                    texts = pc.replace_with_mask(texts, copied, new)
+                    keep = pc.or_(texts.is_valid(), pc.invert(copied))
+                    part, texts = part.filter(keep), texts.filter(keep)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, part.column("rest")], names=["doc_id", "text", "rest"])
+
+    return measured(unpacked(joined.mapInArrow(run, rows.schema), columns).unionByName(docs.where("doc_id is null")), length)
 
 
 def remaining(text: str, runs: list[dict]) -> str:

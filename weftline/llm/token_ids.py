@@ -10,18 +10,21 @@ and gathers the bytes with numpy. The ranking is as large as the vocabulary, wha
 Result: (doc_id, n_tokens, control, data, ranks), one row for each row of docs; ranks is the path of the table (rank, id)
 in the shared folder, with which the streams are decoded. Edge cases: null and empty texts have no
 tokens and empty streams; rows with a null doc_id are kept with it; repeated rows are coded alike and counted each
-time; an empty table gives an empty result; extra columns aren't read.
+time; very long texts and runs of one kind of character are tokenised whole; an empty table gives an empty result;
+extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Written, pieces, texts_of
@@ -30,8 +33,19 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Runs of white space from which they are set apart before a text is tokenised: the tokeniser's pattern can't take any length.
+RUN = 10_000
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary along to the executors; returns its path for `ranks_of`."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
+    """The vocabulary at path or, where that doesn't exist, the file of its name that the driver sent."""
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
@@ -42,6 +56,26 @@ def tokenizer(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
+@lru_cache(1)
+def _long_runs():
+    import regex
+
+    return regex.compile(rf"\s{{{RUN},}}").finditer
+
+
+def ids_of(coder, text: str) -> list[int]:
+    """The text's token ids. A long run of white space is a token of PATTERN by itself but for its last character, which
+    may belong to what follows."""
+    if len(text) < RUN:
+        return coder.encode_ordinary(text)
+    out, at = [], 0
+    for m in _long_runs()(text):
+        end = m.end() - (m.end() < len(text))
+        out += coder.encode_ordinary(text[at : m.start()]) + coder._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + coder.encode_ordinary(text[at:])
+
+
 # ---- the code -------------------------------------------------------------------------------------------------
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -84,7 +118,7 @@ def _tokenise(path: str):
         coder = tokenizer(path)
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                got = [np.array(coder.encode_ordinary(t), np.uint32) for t in texts_of(part, "text").to_pylist()]
+                got = [np.array(ids_of(coder, t), np.uint32) for t in texts_of(part, "text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in got], pa.int32()), pa.array([x.tobytes() if x.size and x.max() > 0xFFFF else x.astype(np.uint16).tobytes() for x in got], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run
@@ -123,6 +157,7 @@ def _code(ranks: np.ndarray):
 def encode_table(docs: DataFrame, path: str = VOCABULARY) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_tokens, control, data, ranks), and for each rank the id that has it."""
     tables = Written(docs.sparkSession)
+    path = ship(docs.sparkSession, path)
     ids = tables.put("ids", docs.select("doc_id", "text").mapInArrow(_tokenise(path), "doc_id long, n_tokens int, ids binary"))
     counts = ids.mapInArrow(_count, "id long, n long").groupBy("id").sum("n").toArrow()  # at most one row an id
     size = max(ranks_of(path).values()) + 1
