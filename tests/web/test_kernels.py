@@ -1,12 +1,13 @@
 """URL, tree, link, structured-data and text kernels on plain values."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.functions import dom, links, structured, text, urls
+from weftline.functions import dom, links, structured, text, udfs, urls
 
 # ---- URLs -----------------------------------------------------------------------------------------------------
 
@@ -241,3 +242,44 @@ def test_metadata():
 )
 def test_markdown(html, want):
     assert text.to_markdown(dom.document(html)) == want
+
+
+# ---- deep and long pages --------------------------------------------------------------------------------------
+
+DEEP = {
+    "div": "<div>{}</div>", "span": "<span>{}</span>", "bold": "<b>{}</b>", "straddling": "<b><div>{}", "list": "<ul><li>{}", "quote": "<blockquote>{}",
+    "card": '<div class="h-card"><p class="p-author h-card">{}', "item": '<div itemscope itemprop="a">{}', "table": "<table><tr><td>{}", "stray ends": "<div>{}</x></p>",
+}
+
+
+@pytest.mark.parametrize("kind", DEEP)
+def test_deep_pages_return_all_parts(kind):
+    before, after = DEEP[kind].split("{}")
+    html = before * 5000 + "a word" + after * 5000
+    began = time.process_time()
+    parts = udfs._parse(html, "http://a.com/", ("markdown", "entities", "microformats", "body", "emails", "children"))
+    assert None not in parts and "a word" in parts[0] and time.process_time() - began < 20
+
+
+def test_deep_json():
+    value = {"@type": "A", "n": 1}
+    nested = value
+    for k in range(100_000):
+        nested = [nested] if k % 2 else {"b": nested, "a": "ä"}
+    text = structured.dump(nested)
+    assert text.count('{"a":"ä","b":') == 50_000 and structured.dump({"b": [1, {"c": None}], "a": []}) == '{"a":[],"b":[1,{"c":null}]}' == structured._dump_deep({"b": [1, {"c": None}], "a": []})
+    assert structured.flatten([[[value]], {"@graph": [value, {"@graph": [value]}]}] + [[]]) == [value] * 3
+    for _ in range(50_000):
+        value = [value]
+    assert structured.flatten(value) == [{"@type": "A", "n": 1}]
+
+
+def test_many_alike_cards_in_little_time():
+    html = "<div>" + "".join(f'<div><h3>t</h3><p><a href="/p/{k}">x</a></p></div>' for k in range(20_000)) + "</div>"
+    root, began = dom.document(html), time.process_time()
+    assert len(links.child_links(root, "http://a.com/")) == 20_000 and time.process_time() - began < 10
+
+
+def test_emphasis_and_tables_within_themselves():
+    assert text.to_markdown(dom.document("<p><b>a <strong>b</strong> <i>c <b>d</b></i></b> <b>e</b></p>")) == "**a b *c d*** **e**"
+    assert text.to_markdown(dom.document("<table><tr><td>a<table><tr><td>b</table></table>")).count("b") == 1

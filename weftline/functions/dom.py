@@ -7,8 +7,14 @@ from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Iterator
 
+#: Some functions of a page's tree call themselves for each level; frames of Python functions lie on the heap, so a page
+#: may be this deep.
+DEPTH = 1_000_000
+sys.setrecursionlimit(max(DEPTH, sys.getrecursionlimit()))
+
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript plaintext script style xmp".split())
 _RCDATA = frozenset(("title", "textarea"))
@@ -189,10 +195,64 @@ def tokens(s: str) -> Iterator[tuple]:
 # ---- the tree -------------------------------------------------------------------------------------------------
 
 
+class _Open(list):
+    """The open elements. How many there are of each tag, and which, is kept beside them, so that most questions needn't
+    go through all of a deep page's."""
+
+    def __init__(self, elements=()):
+        super().__init__(elements)
+        self.tags: dict[str, int] = {}
+        self.here: set[int] = set()
+        self.contexts = [e.tag for e in self if e.tag in _CONTEXT]
+        for e in self:
+            self._count(e, 1)
+
+    def _count(self, e: Element, by: int) -> None:
+        self.tags[e.tag] = self.tags.get(e.tag, 0) + by
+        (self.here.add if by > 0 else self.here.discard)(id(e))
+
+    def __contains__(self, e) -> bool:
+        return id(e) in self.here
+
+    def append(self, e: Element) -> None:
+        super().append(e)
+        self._count(e, 1)
+        if e.tag in _CONTEXT:
+            self.contexts.append(e.tag)
+
+    def pop(self) -> Element:
+        e = super().pop()
+        self._count(e, -1)
+        if e.tag in _CONTEXT:
+            self.contexts.pop()
+        return e
+
+    def insert(self, i: int, e: Element) -> None:
+        rest = [self.pop() for _ in range(len(self) - i)]
+        for x in [e, *reversed(rest)]:
+            self.append(x)
+
+    def __delitem__(self, at) -> None:
+        first = at.start if isinstance(at, slice) else at
+        gone = {id(e) for e in (self[at] if isinstance(at, slice) else [self[at]])}
+        rest = [self.pop() for _ in range(len(self) - first)]
+        for x in reversed(rest):
+            if id(x) not in gone:
+                self.append(x)
+
+    def __setitem__(self, i: int, e: Element) -> None:
+        rest = [self.pop() for _ in range(len(self) - i)]
+        for x in [e, *reversed(rest[:-1])]:
+            self.append(x)
+
+    def any(self, tags) -> bool:
+        return any(self.tags.get(t) for t in tags)
+
+
 class _Builder:
     def __init__(self, fragment: bool):
         self.root = Element("html")
-        self.stack = [self.root]
+        self.stack = _Open([self.root])
         self.active: list[Element | None] = []
         self.head: Element | None = None
         self.body: Element | None = self.root if fragment else None
@@ -227,6 +287,8 @@ class _Builder:
         return e
 
     def scoped(self, tags, scope=_SCOPE) -> bool:
+        if not self.stack.any(tags):
+            return False
         for e in reversed(self.stack):
             if e.tag in tags:
                 return True
@@ -272,10 +334,10 @@ class _Builder:
             pass
 
     def reconstruct(self) -> None:
-        if not self.active or self.active[-1] is None or any(self.active[-1] is e for e in self.stack):
+        if not self.active or self.active[-1] is None or self.active[-1] in self.stack:
             return
         i = len(self.active) - 1
-        while i > 0 and self.active[i - 1] is not None and not any(self.active[i - 1] is e for e in self.stack):
+        while i > 0 and self.active[i - 1] is not None and self.active[i - 1] not in self.stack:
             i -= 1
         for k in range(i, len(self.active)):
             self.active[k] = self.open(self.active[k].tag, dict(self.active[k].attrs))
@@ -292,7 +354,7 @@ class _Builder:
                 self.other_end(tag)
                 return
             target = self.active[where]
-            at = next((i for i, e in enumerate(self.stack) if e is target), None)
+            at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i] is target), None) if target in self.stack else None
             if at is None:
                 self.forget(target)
                 return
@@ -327,7 +389,7 @@ class _Builder:
                 last = fresh
             if ancestor.tag in ("table", "tr") or ancestor.tag in _SECTION:
                 keep, self.foster = (self.stack, self.foster), True
-                self.stack = self.stack[: next(k for k, e in enumerate(self.stack) if e is ancestor) + 1]
+                self.stack = _Open(self.stack[: next(k for k, e in enumerate(self.stack) if e is ancestor) + 1])
                 _detach(last)
                 parent, where_to = self.place()
                 self.stack, self.foster = keep
@@ -344,10 +406,12 @@ class _Builder:
             listed = next(k for k, x in enumerate(self.active) if x is target)
             del self.active[listed]
             self.active.insert(bookmark - (listed < bookmark), fresh)
-            self.stack = [e for e in self.stack if e is not target]
+            self.stack = _Open(e for e in self.stack if e is not target)
             self.stack.insert(next(k for k, e in enumerate(self.stack) if e is block) + 1, fresh)
 
     def other_end(self, tag: str) -> None:
+        if not self.stack.any((tag,)):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             e = self.stack[i]
             if e.tag == tag:
@@ -366,7 +430,7 @@ class _Builder:
                 self.add_to_root(self.head)
             self.body = Element("body")
             self.add_to_root(self.body)
-            self.stack = [self.root, self.body]
+            self.stack = _Open([self.root, self.body])
 
     def add_to_root(self, e: Element) -> None:
         e.parent = self.root
@@ -387,7 +451,7 @@ class _Builder:
                 if self.head is None:
                     self.head = Element("head", attrs)
                     self.add_to_root(self.head)
-                    self.stack = [self.root, self.head]
+                    self.stack = _Open([self.root, self.head])
                 return True
             if tag == "body":
                 self.into_body()
@@ -397,14 +461,14 @@ class _Builder:
                 if self.head is None:
                     self.head = Element("head")
                     self.add_to_root(self.head)
-                self.stack = [self.root, self.head]
+                self.stack = _Open([self.root, self.head])
                 self.open(tag, attrs)
                 if tag in VOID:
                     self.stack.pop()
                 return True
         elif kind == "end":
             if token[1] == "head":
-                self.stack = [self.root]
+                self.stack = _Open([self.root])
                 return True
             if token[1] in _HEAD and len(self.stack) > 2 and self.stack[-1].tag == token[1]:
                 self.stack.pop()
@@ -445,7 +509,7 @@ class _Builder:
             self.end(token[1])
 
     def context(self) -> str:
-        return next((e.tag for e in reversed(self.stack) if e.tag in _CONTEXT), "html")
+        return self.stack.contexts[-1] if self.stack.contexts else "html"
 
     def text(self, text: str) -> None:
         if self.stack[-1].tag in RAW or self.stack[-1].tag in _RCDATA:
@@ -569,7 +633,7 @@ class _Builder:
             return
         elif tag in ("li", "dd", "dt"):
             ends = ("li",) if tag == "li" else ("dd", "dt")
-            for e in reversed(self.stack):
+            for e in reversed(self.stack) if self.stack.any(ends) else ():
                 if e.tag in ends:
                     self.implied(e.tag)
                     self.pop_to((e.tag,))
@@ -587,7 +651,7 @@ class _Builder:
                 if x.tag == "a":
                     self.adopt("a")
                     self.forget(x)
-                    self.stack = [e for e in self.stack if e is not x]
+                    self.stack = _Open(e for e in self.stack if e is not x)
                     break
             self.reconstruct()
             self.remember(self.open(tag, attrs))
@@ -627,7 +691,7 @@ class _Builder:
         self.open(tag, attrs)
         if tag in VOID:
             self.stack.pop()
-        elif closed and (tag in ("svg", "math") or any(e.tag in ("svg", "math") for e in self.stack[:-1])):
+        elif closed and (tag in ("svg", "math") or self.stack.any(("svg", "math"))):
             self.stack.pop()
 
     def end(self, tag: str) -> None:
@@ -678,9 +742,9 @@ class _Builder:
                 self.pop_to(_HEADINGS)
         elif tag == "form":
             form, self.form = self.form, None
-            if form is not None and any(e is form for e in self.stack):
+            if form is not None and form in self.stack:
                 self.implied()
-                self.stack = [e for e in self.stack if e is not form]
+                self.stack = _Open(e for e in self.stack if e is not form)
         elif tag in _BLOCK:
             if self.scoped((tag,)):
                 self.implied()

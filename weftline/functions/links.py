@@ -115,11 +115,11 @@ def _groups(parent: Element) -> Iterable[tuple[int, list[list[Element]]]]:
         starts: dict[bytes, list[int]] = {}
         for i in range(n - size + 1):
             starts.setdefault(raw[i * unit : (i + size) * unit], []).append(i)
-        if max(map(len, starts.values())) < LEAST:
-            return  # longer runs repeat no more often
-        for key, found in starts.items():
-            if len(found) < LEAST or key == key[:unit] * size:
-                continue
+        # a run that isn't of one shape throughout holds a shorter such run (of two shapes at least), as often as itself
+        starts = {key: found for key, found in starts.items() if len(found) >= LEAST and key != key[:unit] * size}
+        if not starts:
+            return
+        for found in starts.values():
             kept, free = [], 0
             for i in found:
                 if i >= free:
@@ -151,16 +151,16 @@ def sibling_links(root: Element, base: urls.Url) -> list[str]:
 
 
 def _item_lists(value) -> Iterable[dict]:
-    if isinstance(value, list):
-        for v in value:
-            yield from _item_lists(v)
-    elif isinstance(value, dict):
-        kind = value.get("@type")
-        if isinstance(kind, str) and kind.lower() == "itemlist":
-            yield value
-        for key in ("@graph", "mainEntity"):
-            if key in value:
-                yield from _item_lists(value[key])
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, list):
+            stack += reversed(v)
+        elif isinstance(v, dict):
+            kind = v.get("@type")
+            if isinstance(kind, str) and kind.lower() == "itemlist":
+                yield v
+            stack += [v[key] for key in ("mainEntity", "@graph") if key in v]
 
 
 def itemlist_links(root: Element, base: urls.Url) -> list[str]:

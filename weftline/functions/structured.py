@@ -22,7 +22,26 @@ def load(text: str):
 
 
 def dump(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    try:
+        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    except RecursionError:
+        return _dump_deep(value)
+
+
+def _dump_deep(value) -> str:
+    """The same for values nested deeper than the library goes."""
+    out, stack = [], [(False, value)]
+    while stack:
+        done, v = stack.pop()
+        if done or not isinstance(v, (dict, list)):
+            out.append(v if done else dump(v))
+            continue
+        parts: list = [(True, "{" if isinstance(v, dict) else "[")]
+        for k, x in enumerate(sorted(v.items()) if isinstance(v, dict) else v):
+            parts += [(True, ",")] * (k > 0) + ([(True, dump(x[0]) + ":"), (False, x[1])] if isinstance(v, dict) else [(False, x)])
+        parts.append((True, "}" if isinstance(v, dict) else "]"))
+        stack += reversed(parts)
+    return "".join(out)
 
 
 # ---- JSON-LD --------------------------------------------------------------------------------------------------
@@ -40,14 +59,18 @@ def jsonld_scripts(root: Element) -> Iterable:
 
 def flatten(value) -> list[dict]:
     """The objects of a JSON-LD value: lists are opened, and objects with a @graph list stand for its members."""
-    if isinstance(value, list):
-        return [x for v in value for x in flatten(v)]
-    if not isinstance(value, dict):
-        return []
-    graph = value.get("@graph")
-    if isinstance(graph, list):
-        return flatten(graph)
-    return [{k: v for k, v in value.items() if k != "@graph"}]
+    out, stack = [], [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, list):
+            stack += reversed(v)
+        elif isinstance(v, dict):
+            graph = v.get("@graph")
+            if isinstance(graph, list):
+                stack.append(graph)
+            else:
+                out.append({k: x for k, x in v.items() if k != "@graph"})
+    return out
 
 
 # ---- Microdata and RDFa ---------------------------------------------------------------------------------------

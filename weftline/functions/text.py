@@ -101,7 +101,36 @@ _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i im
 _ESCAPE = re.compile(r"([\\`*_\[\]])")
 
 
+def _rows(table: Element) -> list[Element]:
+    """A table's own rows; those of tables in its cells are text there."""
+    out, stack = [], table.elements()[::-1]
+    while stack:
+        e = stack.pop()
+        if e.tag == "tr":
+            out.append(e)
+        elif e.tag != "table":
+            stack += e.elements()[::-1]
+    return out
+
+
 class _Markdown:
+    def __init__(self):
+        self.marks: set[str] = set()  # emphasis within emphasis of the same kind isn't marked again
+
+    def marked(self, e: Element) -> str:
+        """The text of an element, between its marks."""
+        mark = "**" if e.tag in ("b", "strong") else "*" if e.tag in ("em", "i") else "~~" if e.tag in ("del", "s", "strike") else ""
+        fresh = mark and mark not in self.marks
+        if fresh:
+            self.marks.add(mark)
+        text = self.inline(e.children)
+        if fresh:
+            self.marks.discard(mark)
+        core = text.strip()
+        if not fresh or not core:
+            return text
+        return " " * text[0].isspace() + mark + core + mark + " " * text[-1].isspace()
+
     def inline(self, nodes: list) -> str:
         out = []
         for c in nodes:
@@ -118,18 +147,12 @@ class _Markdown:
             return f"![{e.attrs.get('alt', '')}]({e.attrs['src']})" if e.attrs.get("src") else ""
         if e.tag in ("code", "kbd", "samp", "tt"):
             return f"`{' '.join(e.text().split())}`" if e.text().strip() else ""
-        text = self.inline(e.children)
+        text = self.marked(e)
         core = text.strip()
         if not core:
             return " " if text else ""
         left, right = " " * text[0].isspace(), " " * text[-1].isspace()
-        if e.tag in ("b", "strong"):
-            core = f"**{core}**"
-        elif e.tag in ("em", "i"):
-            core = f"*{core}*"
-        elif e.tag in ("del", "s", "strike"):
-            core = f"~~{core}~~"
-        elif e.tag == "a" and "href" in e.attrs:
+        if e.tag == "a" and "href" in e.attrs:
             title = e.attrs.get("title", "").replace('"', '\\"')
             core = f"[{core}]({e.attrs['href']}" + (f' "{title}"' if title else "") + ")"
         return left + core + right
@@ -176,7 +199,7 @@ class _Markdown:
         if e.tag == "hr":
             return ["---"]
         if e.tag == "table":
-            rows = [[self.inline(c.children).strip().replace("|", "\\|").replace("\n", " ") for c in r.elements() if c.tag in ("td", "th")] for r in e.iter() if r.tag == "tr"]
+            rows = [[self.inline(c.children).strip().replace("|", "\\|").replace("\n", " ") for c in r.elements() if c.tag in ("td", "th")] for r in _rows(e)]
             rows = [r for r in rows if r]
             if not rows:
                 return []

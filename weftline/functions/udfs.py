@@ -40,7 +40,10 @@ def _parse(html: str, url: str | None, parts: Sequence[str]) -> list:
         piece = PARTS[p][1]
         if piece not in trees:
             trees[piece] = dom.fragment(html) if piece else dom.document(html)
-        out.append(PARTS[p][2](trees[piece], url))
+        try:
+            out.append(PARTS[p][2](trees[piece], url))
+        except (RecursionError, MemoryError):  # of a library in C: the page has no such part, and the job goes on
+            out.append(None)
     return out
 
 

@@ -182,14 +182,14 @@ def scrape_all(spark, sf_dir):
 @query(r"""SELECT DISTINCT lower(e) AS email FROM (SELECT unnest(regexp_extract_all(text, '(?i)\b[a-z0-9._%+-]+@[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,24}\b')) AS e FROM documents)
   WHERE NOT regexp_matches(lower(e), '\.(avi|css|doc|docx|gif|gz|ico|jpeg|jpg|js|mov|mp3|mp4|pdf|png|prod|svg|tar|webp|xls|xlsx|zip)$')""")
 def doc_emails(spark, sf_dir):
-    rows = pages.rows_of(table(spark, sf_dir, "documents").where(F.col("text").contains("@")), udfs.text_emails("text"), "raw")
+    rows = pages.rows_of(table(spark, sf_dir, "documents").where(F.col("text").rlike("[@&]")), udfs.text_emails("text"), "raw")
     return rows.select(native.normalize_email("raw").alias("email")).where("email <> ''").distinct()
 
 
 @query(r"""SELECT DISTINCT (CASE WHEN p LIKE '+%' THEN '+' ELSE '' END) || regexp_replace(p, '[^0-9]', '', 'g') AS phone FROM
   (SELECT unnest(regexp_extract_all(text, '(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}')) AS p FROM documents)""")
 def doc_phones(spark, sf_dir):
-    rows = pages.rows_of(table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d{4}")), udfs.text_phones("text"), "raw")
+    rows = pages.rows_of(table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?U)\d{4}|[&\x00]")), udfs.text_phones("text"), "raw")
     return rows.select(native.normalize_phone("raw").alias("phone")).where("phone <> ''").distinct()
 
 
