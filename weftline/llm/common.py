@@ -12,6 +12,7 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -62,10 +63,13 @@ def measured(docs: DataFrame, length: str | None) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local session (as in tests) gets a
+    temporary folder; on a cluster there is none that all machines see, so it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="weftline-")
@@ -73,29 +77,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
 
 
 class Written:
-    """Tables written to the shared folder by one call of an operator; drop() removes those no later step reads."""
+    """Tables written to the shared folder by one call of an operator. drop() removes those that no later step reads; the
+    others go when the driver ends, as a result may be read until then, but for those that belong to the result."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
         self.root = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
+    def put(self, name: str, df: DataFrame, stays: bool = False) -> DataFrame:
         """Writes df, and returns it read back: its lineage starts at the files, which outlive lost executors."""
-        path = f"{self.root}/{name}"
+        path = f"{self.root}-{name}" if stays else f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if not stays and not self.paths:
+            files, at = _files(self.spark, self.root)
+            files.deleteOnExit(at)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _remove(self.spark, self.paths.pop(name))
+            remove(self.spark, self.paths.pop(name))
+
+    def keep(self, *names: str) -> None:
+        """Drops all others."""
+        self.drop(*(x for x in list(self.paths) if x not in names))
 
 
 # ---- Arrow batches --------------------------------------------------------------------------------------------

@@ -550,13 +550,15 @@ def _linked(points: DataFrame, dim: int, n: int, threshold: float, k: int, cell:
         replies = exchange(vectors.union(graph).union(graph.mapInArrow(_ask(buckets, close), ROW)), _reply(dim, k, close))
         edges = exchange(vectors.union(graph).union(replies), _verify(dim, k, close, threshold), "a long, b long, at_a long, at_b long, dense boolean")
         edges = tables.put(f"edges{attempt}", edges.dropDuplicates(["a", "b"]))
-        roots = tables.put(f"roots{attempt}", components(edges.select("a", "b"), tables, f"cc{attempt}"))
+        roots_at = f"roots{attempt}"
+        roots = tables.put(roots_at, components(edges.select("a", "b"), tables, f"cc{attempt}"))
         dense = tables.put(f"dense{attempt}", graph.mapInArrow(_saturated(k, close), "id long"))
         links = edges.where("not dense").select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("at_b").alias("n")), F.struct(F.col("b").alias("id"), F.col("at_a").alias("n")))).alias("x")).select("x.id", "x.n")
         if not dense.isEmpty():
             links = links.union(_dense(dense.join(roots, "id").join(points, "id").select("root", "id", "v", "copies"), dim, threshold, tables, f"class{attempt}", cell).select("id", "n"))
         counts = tables.put(f"counts{attempt}", links.groupBy("id").agg(F.sum("n").alias("n")))
         if audit.recall(counts, dense) >= TARGET:
+            tables.keep("units", "points", roots_at, f"counts{attempt}")
             return roots, counts
         k *= 2
     found = tables.put("found", _everything(points, dim, n, threshold))

@@ -8,12 +8,12 @@ the driver, and travels with the model: a document's score is
 
     log prior_1 - log prior_0 + log N(x; mean_1, cov_1) - log N(x; mean_0, cov_0)
 
-with Mahalanobis distances by triangular solves. Documents with score >= threshold are kept.
+with Mahalanobis distances by the factors' inverses, which are computed once as well. Documents with score >= threshold are kept.
 
 Edge cases: a null or empty text is scored like any other (all statistics at their floor); with no labelled rows, or
 of one class only, or a class with fewer rows than dimensions + 2, there is no model: every document is kept with a
 null score; labels with nulls are left out, as are ids labelled both ways; documents with a null id are scored; repeated rows are scored alike and
-don't count twice in the fit.
+don't count twice in the fit, where of labelled rows that repeat an id that with the smallest statistics counts.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int, label: str = "qualit
                 x = statistics(texts_of(part, "text"))
                 yield batch_of({"doc_id": part.column("doc_id"), "label": part.column("label"), "x": list(x)}, pa.schema([("doc_id", pa.int64()), *_FEATURES]))
 
-    found = texts.mapInArrow(stats, "doc_id long, label int, x array<double>").dropDuplicates(["doc_id"]).select("doc_id", "label", "x").toArrow()
+    found = texts.mapInArrow(stats, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toArrow()
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     x = np.array(found["x"].to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))
     return x[order], found["label"].to_numpy()[order]

@@ -263,9 +263,8 @@ def _probe(units: list, radius: int):
     return take
 
 
-def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    spark = docs.sparkSession
-    tables = Written(spark)
+def groups(docs: DataFrame, radius: int = RADIUS, tables: Written | None = None) -> DataFrame:
+    tables = tables or Written(docs.sparkSession)
     prints = tables.put("prints", unique_ids(docs).mapInArrow(_prints, "doc_id long, lo long, hi long"))
     points = tables.put("points", prints.groupBy("lo", "hi").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     # BITS x BITS counts and PARTS x 2**WIDTH counts, whatever the size of the corpus
@@ -297,7 +296,9 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group; columns stay. Rows with a null id stay, as do those without words."""
-    gone = Written(docs.sparkSession).put("gone", groups(docs, radius).where("not kept").select("doc_id"))
+    tables = Written(docs.sparkSession)
+    gone = tables.put("gone", groups(docs, radius, tables).where("not kept").select("doc_id"))
+    tables.keep("gone")
     # Spark broadcasts the ids if the table written is small enough for it, else it shuffles
     one = unique_ids(packed_rows(docs)).join(gone, "doc_id", "left_anti")
     return unpacked(one, docs.columns).unionByName(docs.where("doc_id is null"))

@@ -166,5 +166,5 @@ def encode_table(docs: DataFrame, path: str = VOCABULARY) -> tuple[DataFrame, np
     by_rank = np.argsort(-n, kind="stable")
     ranks = np.empty(size, np.uint32)
     ranks[by_rank] = np.arange(size, dtype=np.uint32)
-    tables.put("ranks", docs.sparkSession.createDataFrame(pa.table({"rank": np.arange(size), "id": by_rank})))
+    tables.put("ranks", docs.sparkSession.createDataFrame(pa.table({"rank": np.arange(size), "id": by_rank})), stays=True)
     return ids.mapInArrow(_code(ranks), "doc_id long, n_tokens int, control binary, data binary").withColumn("ranks", F.lit(tables.paths["ranks"])), by_rank

@@ -245,6 +245,7 @@ def _sufficient(table: DataFrame, k: int, every: int, slices: int, broadcast: in
             yield pa.RecordBatch.from_pydict({"q": pa.array([row["q"]], pa.int32()), "g": pa.array([row["s"]], pa.int32()), "who": [ids[i[ok]].tobytes()], "found": [others[j[ok]].tobytes()], "cost": [exact[ok].tobytes()], "totals": [totals]})
 
     pairs = tables.put("pairs", cutoffs.mapInArrow(needed, "q int, s int"))
+    tables.keep("segments", "cutoffs", "pairs")
     hint = F.broadcast if n * (4 * dim + 8) <= broadcast else (lambda x: x)
     # few pairs a task: each carries a block and a segment
     spread = pairs.repartition(max(1, ceil(pairs.count() / 4)), "q", "s")
