@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import packing, pii, quality, recompress, simhash
-from weftline.llm.common import shared_dir, table
+from weftline.llm.common import remove, shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +50,14 @@ STAGES = [("quality", quality_stage), ("simhash", simhash_stage), ("substring",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage returns lies in the shared folder."""
+    """The last stage's rows, which lie in the shared folder; what the stages before returned goes once it was read."""
     out = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, out, sf_dir).write.parquet(f"{root}/{k}-{name}")
         out = spark.read.parquet(f"{root}/{k}-{name}")
+        if k:
+            remove(spark, f"{root}/{k - 1}-{STAGES[k - 1][0]}")
     return out
 
 
