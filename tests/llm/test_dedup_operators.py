@@ -144,6 +144,26 @@ def test_passages_are_those_of_brute_force(spark, operator, seed):
     assert got == brute_spans(dict(enumerate(texts)), repeats.LEAST)
 
 
+@pytest.mark.parametrize("hot", [1, 40])
+def test_hot_suffixes_are_compared_across_parts(spark, hot):
+    texts = planted(random.Random(4)) * 2
+    got = {tuple(r) for r in suffixes.find(docs(spark, texts), hot_rows=hot).collect()}
+    assert got == brute_spans(dict(enumerate(texts)), repeats.LEAST)
+
+
+@pytest.mark.parametrize("operator", [recompress, suffixes])
+def test_passages_whatever_the_parts_and_buckets(spark, operator, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET", 2000)
+    monkeypatch.setattr(repeats, "PART", 5000)
+    monkeypatch.setattr(suffixes, "PART", 20_000)
+    monkeypatch.setattr(suffixes, "SORTED", 5000)
+    rng = random.Random(6)
+    texts = planted(rng)
+    ids = rng.sample([*range(-3, 40), *(rng.randrange(-(2**63), 2**63) for _ in range(20))], len(texts))
+    got = {tuple(r) for r in operator.find(docs(spark, texts, ids)).collect()}
+    assert got == brute_spans(dict(zip(ids, texts)), repeats.LEAST)
+
+
 @pytest.mark.parametrize("operator", [recompress, suffixes])
 def test_passages_are_those_of_sql(spark, operator):
     compare(spark, lambda s, d: operator.find(table(s, d, "documents")), repeats.SQL.format(least=repeats.LEAST))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mix
-from .repeats import LEAST, Words, _grouped, _unpack, cut, exchange, near_shared, packed, shared_places, spans, unique_ids
+from .repeats import KNOWN, LEAST, Words, cut, exchange, grouped, near_shared, packed, shared_keys, shared_places, spans, text_bytes, unique_ids, unpack
 
 ROUNDS = 4
 LONGEST = 8
@@ -75,7 +75,7 @@ def _keys(least: int):
         end = border[np.minimum(np.searchsorted(border, at + SPAN), len(at))] if len(at) else at
         ok = (end <= w.starts[doc + 1]) & (end - at >= SPAN) & (w.n[doc] >= least) & (end - at < 32)
         begin, end = at[begin[ok]], end[ok]
-        yield from packed(w, w.runs(begin, end), begin, (end - begin).astype(np.uint8), buckets)
+        yield from shared_keys(w, w.runs(begin, end), begin, (end - begin).astype(np.uint8), buckets)
 
     return make
 
@@ -83,7 +83,8 @@ def _keys(least: int):
 def find(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, start, end, copy) as described in repeats."""
     docs = unique_ids(docs)
-    places = shared_places(docs, _keys(least)).withColumnRenamed("doc_id", "_wl_id")
+    size = text_bytes(docs)
+    places = shared_places(docs, size, _keys(least)).withColumnRenamed("doc_id", "_wl_id")
     around = docs.join(places.hint("shuffle_hash"), docs["doc_id"] == places["_wl_id"])
 
     def make(part: pa.RecordBatch, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -93,24 +94,33 @@ def find(docs: DataFrame, least: int = LEAST) -> DataFrame:
         with np.errstate(over="ignore"):
             # a second, independent sum over the same words
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(w.h + np.uint64(1)) * w.power[:-1])])
-            more = mix((sums[begin + least] - sums[begin]) * w.back[begin]).astype(np.uint32)
-        yield from packed(w, key, begin, more, buckets)
+            more = mix((sums[begin + least] - sums[begin]) * w.back[begin]) >> np.uint64(32)
+        # windows that occur before in this part are copies; the first of them stands for all
+        order, copy = _ordered(key, more, w.ids[w.owner()[begin]], begin)
+        again = np.zeros(len(begin), bool)
+        again[order] = copy
+        many = np.zeros(len(begin), bool)
+        many[order[:-1]] = copy[1:]
+        yield from packed(w, key, begin, more << np.uint64(1) | many.astype(np.uint64), again, buckets)
 
     def take(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in t.column("keys")])
-        rows = list(_unpack(t, np.uint32))
-        ids, place, more = (np.concatenate(x) for x in zip(*rows))
-        order = np.lexsort((place, ids, more, keys))
-        k, m = keys[order], more[order]
-        same = (k[1:] == k[:-1]) & (m[1:] == m[:-1])
-        copy = np.concatenate([[False], same])
-        hit = copy | np.concatenate([same, [False]])
-        found = order[hit]
-        marks = place[found] * 2 + copy[hit]
-        again = np.argsort(ids[found], kind="stable")
-        return pa.Table.from_batches([_grouped(ids[found][again], marks[again], ["doc_id", "marks"])])
-
-    return spans(exchange(around, make, take, "doc_id long, marks array<int>", ("places",)), least)
+        keys, ids, place, more = unpack(t, np.uint64)
+        known, many = keys == KNOWN, (more & np.uint64(1)) > 0
+        order, copy = _ordered(keys, more >> np.uint64(1), ids, place)
+        copy |= known[order]
+        found = copy | many[order]
+        found[:-1] |= copy[1:] & ~known[order][:-1]
+        at = order[found]
+        return pa.Table.from_batches([grouped(ids[at], (place[at] * 2 + copy[found]).astype(np.int32), names=("marks",))])
+
+    return spans(exchange(around, size, make, take, "doc_id long, marks array<int>", ("places",)), least)
+
+
+def _ordered(key: np.ndarray, more: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by which equal windows stand together, the first of them first; which are not the first)."""
+    order = np.lexsort((place, ids, more, key))
+    k, m = key[order], more[order]
+    return order, np.concatenate([[False], (k[1:] == k[:-1]) & (m[1:] == m[:-1])])[: len(order)]
 
 
 def drop_copies(docs: DataFrame, least: int = LEAST, length: str | None = None) -> DataFrame:

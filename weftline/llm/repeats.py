@@ -8,7 +8,8 @@ document count like any others.
 
 Both find candidates by places that equal text has in common wherever it stands, look which of these occur twice in the
 corpus, and compare in full only what lies around those. Data is exchanged in packed arrays, a row for each part and
-bucket, so the JVM moves few rows. Rows with a null id are left out, null and empty texts have no windows, and of rows
+bucket, so the JVM moves few rows. What repeats within a part of a table is settled there, and a bucket hears of it once,
+so a passage that a third of all documents hold is a few numbers a part. Rows with a null id are left out, null and empty texts have no windows, and of rows
 that repeat an id one counts (see unique_ids).
 """
 
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, measured, mix, packed_rows, pieces, shuffle_width, texts_of, unpacked, words_of
+from .common import hash_words, measured, mix, packed_rows, pieces, texts_of, unpacked, words_of
 
 LEAST = 50
 
@@ -91,47 +92,72 @@ class Words:
         return np.repeat(np.arange(len(self.ids)), self.n)
 
 
-def _small(x: np.ndarray) -> bytes:
-    """Rising positions as differences."""
-    return np.diff(x, prepend=0).astype(np.uint32).tobytes()
+#: Bytes of text whose keys share a bucket.
+BUCKET = 16 << 20
+PACKED = "bucket int, base long, keys binary, near binary, far binary, places binary, extra binary"
+#: The key of what is already known and only travels to be grouped by document.
+KNOWN = np.uint64(0)
 
 
-def _large(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, np.uint32).astype(np.int64))
+def _binary(x: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """x cut at starts (the last of which is its end), each piece as bytes."""
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * x.itemsize).astype(np.int32)), pa.py_buffer(x.view(np.uint8) if len(x) else b"")])
 
 
-PACKED = "bucket int, ids binary, ends binary, keys binary, places binary, extra binary"
-
-
-def packed(w: Words, keys: np.ndarray, places: np.ndarray, extra: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket of keys; places rise, extra has one value a key."""
+def packed(w: Words, keys: np.ndarray, places: np.ndarray, extra: np.ndarray, known: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket with the keys of this part that belong there, and their documents and places. Of places that
+    are known only the values travel, to a bucket of their document."""
     if not len(keys):
         return
-    bucket = (keys % np.uint64(buckets)).astype(np.uint32)
+    doc = np.searchsorted(w.starts, places, "right") - 1
+    ids, place = w.ids[doc], (places - w.starts[doc]).astype(np.uint32)
+    keys = np.where(known, KNOWN, np.maximum(keys, np.uint64(1)))
+    bucket = (np.where(known, mix(ids.view(np.uint64)), keys) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    keys, places, extra = keys[order], places[order], extra[order]
-    ids, ends = np.diff(w.ids, prepend=np.int64(0)).tobytes(), _small(w.starts[1:])
-    live = [(b, cuts[b], cuts[b + 1]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    bucket, keys, ids, place, extra = bucket[order], keys[order], ids[order], place[order], extra[order]
+    starts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(keys))
+    none = np.zeros(len(starts), np.int64)
+    base, most = int(ids.min()), int(ids.max())
+    small = most - base < 1 << 32
     yield pa.RecordBatch.from_arrays([
-        pa.array([b for b, _, _ in live], pa.int32()), pa.array([ids] * len(live), pa.binary()), pa.array([ends] * len(live), pa.binary()),
-        pa.array([keys[i:j].tobytes() for _, i, j in live], pa.binary()), pa.array([_small(places[i:j]) for _, i, j in live], pa.binary()), pa.array([extra[i:j].tobytes() for _, i, j in live], pa.binary()),
-    ], names=["bucket", "ids", "ends", "keys", "places", "extra"])
-
-
-def _unpack(t: pa.Table, kind) -> Iterator[tuple[np.ndarray, ...]]:
-    """(doc_id, place within the document, extra) of each row's keys."""
-    for ids, ends, places, extra in zip(*(t.column(c) for c in ("ids", "ends", "places", "extra"))):
-        ids, ends, at = np.cumsum(np.frombuffer(ids.as_buffer(), np.int64)), _large(ends.as_buffer()), _large(places.as_buffer())
-        doc = np.searchsorted(ends, at, "right")
-        yield ids[doc], at - np.concatenate([[0], ends[:-1]])[doc], np.frombuffer(extra.as_buffer(), kind)
-
-
-def _grouped(ids: np.ndarray, values: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """A row for each run of equal ids, with the list of its values."""
+        pa.array(bucket[starts[:-1]], pa.int32()), pa.array(np.full(len(starts) - 1, base)), _binary(keys, starts),
+        _binary((ids - base).astype(np.uint32), starts) if small else _binary(ids[:0], none), _binary(ids[:0], none) if small else _binary(ids, starts),
+        _binary(place, starts), _binary(extra, starts),
+    ], names=["bucket", "base", "keys", "near", "far", "places", "extra"])
+
+
+def _flat(t: pa.Table, name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a column of packed rows, how many there are in each row)."""
+    values, counts = [np.zeros(0, dtype)], [np.zeros(0, np.int64)]
+    for c in t.column(name).chunks:
+        if len(c):
+            at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+            if at[-1] > at[0]:
+                values.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype))
+            counts.append(np.diff(at) // np.dtype(dtype).itemsize)
+    return np.concatenate(values), np.concatenate(counts)
+
+
+def unpack(t: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, doc_id, place within the document, extra) of all keys of a bucket."""
+    keys, n = _flat(t, "keys", np.uint64)
+    near, small = _flat(t, "near", np.uint32)
+    ids = np.empty(len(keys), np.int64)
+    short = np.repeat(small > 0, n)
+    ids[short] = near.astype(np.int64) + np.repeat(t.column("base").to_numpy(), small)
+    ids[~short] = _flat(t, "far", np.int64)[0]
+    return keys, ids, _flat(t, "places", np.uint32)[0].astype(np.int64), _flat(t, "extra", kind)[0]
+
+
+def grouped(ids: np.ndarray, *values: np.ndarray, names: tuple[str, ...]) -> pa.RecordBatch:
+    """A row for each id, with the lists of its values."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
     new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(ids)]]), pa.int32()), pa.array(values.astype(np.int32), pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(ids[new], pa.int64()), lists], names=names)
+    ends = pa.array(np.append(new, len(ids)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in values]
+    return pa.RecordBatch.from_arrays([pa.array(ids[new], pa.int64()), *lists], names=["doc_id", *names])
 
 
 def twice(keys: np.ndarray) -> np.ndarray:
@@ -144,9 +170,14 @@ def twice(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def exchange(docs: DataFrame, make: Callable[[Words, int], Iterator[pa.RecordBatch]], take: Callable[[pa.Table], pa.Table], returns: str, columns: tuple[str, ...] = ()) -> DataFrame:
-    """Sends what `make` packs of each part to its bucket, and what `take` finds in a bucket on."""
-    buckets = max(shuffle_width(docs.sparkSession), 1)
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def exchange(docs: DataFrame, size: int, make: Callable[[Words, int], Iterator[pa.RecordBatch]], take: Callable[[pa.Table], pa.Table], returns: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Sends what `make` packs of each part to its bucket, and what `take` finds in a bucket on. Buckets are as many as
+    the bytes of text (size) ask for, whatever the number of shuffle partitions."""
+    buckets = min((1 << 31) - 1, size // BUCKET + 1)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,20 +187,32 @@ def exchange(docs: DataFrame, make: Callable[[Words, int], Iterator[pa.RecordBat
     return docs.select("doc_id", "text", *columns).mapInArrow(out, PACKED).groupBy("bucket").applyInArrow(take, returns)
 
 
-def shared_places(docs: DataFrame, make: Callable[[pa.RecordBatch, int], Iterator[pa.RecordBatch]]) -> DataFrame:
+def shared_keys(w: Words, keys: np.ndarray, places: np.ndarray, extra: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Keys, to find out which occur twice in the corpus. Those that do in this part are known to, and all their places
+    are sent on; of each key one place goes to the key's bucket, so however common a key is, a bucket gets it once from
+    each part."""
+    order = np.argsort(keys, kind="stable")
+    first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
+    here, send = twice(keys), np.zeros(len(keys), bool)
+    send[order[first]] = True
+    at = np.concatenate([np.flatnonzero(send), np.flatnonzero(here)])
+    yield from packed(w, keys[at], places[at], extra[at], np.arange(len(at)) >= send.sum(), buckets)
+
+
+def is_shared(keys: np.ndarray) -> np.ndarray:
+    return twice(keys) | (keys == KNOWN)
+
+
+def shared_places(docs: DataFrame, size: int, make: Callable[[pa.RecordBatch, int], Iterator[pa.RecordBatch]]) -> DataFrame:
     """(doc_id, places): for each document with keys that occur twice in the corpus, their places and spans, packed
     as place * 32 + span (extra: the span)."""
 
     def take(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in t.column("keys")])
-        hit, at, out = twice(keys), 0, []
-        for ids, place, span in _unpack(t, np.uint8):
-            mine = hit[at : at + len(ids)]
-            at += len(ids)
-            out.append(_grouped(ids[mine], (place[mine] << 5) | span[mine], ["doc_id", "places"]))
-        return pa.Table.from_batches(out)
-
-    found = exchange(docs, make, take, "doc_id long, places array<int>")
+        keys, ids, place, span = unpack(t, np.uint8)
+        hit = is_shared(keys)
+        return pa.Table.from_batches([grouped(ids[hit], (place[hit] << 5 | span[hit]).astype(np.int32), names=("places",))])
+
+    found = exchange(docs, size, make, take, "doc_id long, places array<int>")
     return found.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 

@@ -6,9 +6,10 @@ suffix's leading GRAM words do too; suffixes whose leading words are unique in t
 dropped after one exchange of their hashes. The suffixes left, with as many words on both sides as their windows
 reach, are range-partitioned by their leading words with splitters taken from a sample of them; each bucket is sorted
 by multikey quicksort, three-way partitioning by the word at a depth, and neighbours are compared for their common
-prefixes. As splitters are leading words, suffixes that agree in these are never parted: those on the two sides of a
-border between buckets differ in their first two words, which is the comparison across the border, and no window
-reaches over it. Windows then repeat where neighbours share enough words to the right and the same words to the left.
+prefixes. As splitters are leading words, suffixes that agree in these are never parted, so no window reaches over the
+border between two ranges. Only hot leads, those of more than HOT suffixes, are cut further, into parts by a hash of the
+document; windows that the parts leave open (each once a part) are then compared across these borders by their names,
+64-bit hashes of the whole window. Windows then repeat where neighbours share enough words to the right and the same words to the left.
 
 Words are compared by 32-bit hashes, `least` of them a window.
 """
@@ -19,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, mix, pieces, shuffle_width
-from .repeats import LEAST, PART, Words, _grouped, _unpack, cut, exchange, packed, spans, twice, unique_ids
+from .common import Written, mix, pieces
+from .repeats import LEAST, PART, Words, cut, exchange, grouped, is_shared, shared_keys, spans, text_bytes, unique_ids, unpack
 
 GRAM = 8
-#: One in so many of the distinct leading words is used to place the splitters (it changes no result).
+#: One in so many of the suffixes is used to place the splitters and to find hot leading words (it changes no result).
 SAMPLE = 16
+#: Suffixes with equal leading words from which these are hot, and bytes of suffixes in a range.
+HOT, SORTED = 100_000, 32 << 20
 
 
 def anchors(w: Words, least: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,27 +104,28 @@ def _keys(least: int):
         if len(place):
             names = _short(w.h)
             lead = names[place].astype(np.uint64) << np.uint64(32) | names[place + 1]
-            yield from packed(w, w.runs(place, place + GRAM), place, lead, buckets)
+            yield from shared_keys(w, w.runs(place, place + GRAM), place, lead, buckets)
 
     return make
 
 
 def _take_keys(t: pa.Table) -> pa.Table:
-    keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in t.column("keys")])
-    hit, at, out = twice(keys), 0, []
-    for ids, place, lead in _unpack(t, np.uint64):
-        mine = hit[at : at + len(ids)]
-        chosen = mine & (mix(keys[at : at + len(ids)]) % np.uint64(SAMPLE) == 0)
-        at += len(ids)
-        rows = _grouped(ids[mine], place[mine], ["doc_id", "places"])
-        some = np.add.reduceat(chosen[mine], rows.column("places").offsets.to_numpy()[:-1]) if rows.num_rows else np.zeros(0, np.int64)
-        leads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]), pa.int32()), pa.array(lead[chosen].view(np.int64), pa.int64()))
-        out.append(pa.RecordBatch.from_arrays([*rows.columns, leads], names=["doc_id", "places", "leads"]))
-    return pa.Table.from_batches(out)
-
-
-def _suffixes(least: int, splitters: np.ndarray):
-    """Rows of a part for each bucket: the suffixes' words to the right and left, and which windows they stand for."""
+    keys, ids, place, lead = unpack(t, np.uint64)
+    hit = is_shared(keys)
+    ids, place, lead = ids[hit], place[hit], lead[hit]
+    with np.errstate(over="ignore"):
+        some = mix(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)) % np.uint64(SAMPLE) == 0
+    places, leads = grouped(ids, place.astype(np.int32), names=("places",)), grouped(ids[some], lead[some].view(np.int64), names=("leads",))
+    none = lambda n, kind: pa.nulls(n, pa.list_(kind))
+    return pa.Table.from_batches([
+        pa.RecordBatch.from_arrays([*places.columns, none(places.num_rows, pa.int64())], names=["doc_id", "places", "leads"]),
+        pa.RecordBatch.from_arrays([leads.column(0), none(leads.num_rows, pa.int32()), leads.column(1)], names=["doc_id", "places", "leads"]),
+    ])
+
+
+def _suffixes(least: int, splitters: np.ndarray, hot: np.ndarray, parts: np.ndarray):
+    """Rows of a part for each bucket: the suffixes' words to the right and left, and which windows they stand for. A
+    bucket is (range of leads, 0), or for a hot lead (its number after the ranges, one of its parts from 1)."""
     right, left = least, least - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,73 +149,112 @@ def _suffixes(least: int, splitters: np.ndarray):
                 j = place[:, None] - 1 - np.arange(left)
                 words = np.concatenate([np.where(i < stop, names[i + left], 0), np.where(j >= zero, names[j + left], 0)], axis=1).astype(np.uint32)
                 lead = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1]
-                bucket = np.searchsorted(splitters, lead, "right")
-                order = np.argsort(bucket, kind="stable")
-                at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
+                bucket, share = np.searchsorted(splitters, lead, "right"), np.zeros(len(lead), np.int64)
+                if len(hot):
+                    which = np.minimum(np.searchsorted(hot, lead), len(hot) - 1)
+                    is_hot = hot[which] == lead
+                    bucket = np.where(is_hot, len(splitters) + 1 + which, bucket)
+                    share = np.where(is_hot, 1 + (mix(w.ids[doc].view(np.uint64)) % parts[which].astype(np.uint64)).astype(np.int64), 0)
+                order = np.lexsort((share, bucket))
+                at = np.flatnonzero(np.concatenate([[True], (np.diff(bucket[order]) != 0) | (np.diff(share[order]) != 0), [True]]))
                 rows = []
                 for a, b in zip(at[:-1], at[1:]):
                     k = order[a:b]
                     who = np.column_stack([w.ids[doc[k]], place[k] - w.starts[doc[k]], place[k] - last[k], place[k] - first[k]])
-                    rows.append((int(bucket[k[0]]), who.astype(np.int64).tobytes(), words[k].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "who", "words"])
+                    rows.append((int(bucket[k[0]]), int(share[k[0]]), who.astype(np.int64).tobytes(), words[k].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["bucket", "share", "who", "words"])
 
     return run
 
 
 def _sort(least: int):
+    """Marks of the windows that repeat in a bucket: (doc_id, marks). In a part of a hot lead the first of equal windows
+    may not be the first of all, and one that is alone may not be alone: these come with the window's name and how many
+    there are, (doc_id, marks, keys, counts), for the comparison across the borders between the parts."""
+
     def take(t: pa.Table) -> pa.Table:
+        border = t.column("share")[0].as_py() > 0
         who = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4) for x in t.column("who")])
-        words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).reshape(len(who_) // 32, -1) for x, who_ in zip(t.column("words"), (y.as_buffer().to_pybytes() for y in t.column("who")))])
+        words = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).reshape(-1, 2 * least - GRAM) for x in t.column("words")])
         order = multikey(words[:, :least])
         who, words = who[order], words[order]
         apart = words[1:, :least] != words[:-1, :least]
         common = np.where(apart.any(1), apart.argmax(1), least)
         left = words[:, least:]
-        del words, apart
         ids, place, low, high = who.T
-        out_id, out_mark = [], []
+        out: list[tuple] = []
         with np.errstate(over="ignore"):
             sums = np.zeros(len(who), np.uint64)
+            if border:
+                # a name of the first least - back words to the right, from back = 0 on, read from their sums
+                weight = np.multiply.accumulate(np.full(least, np.uint64(0xA0761D6478BD642F)))
+                right = np.cumsum(mix(words[:, :least]) * weight, axis=1, dtype=np.uint64)
+            del words, apart
             for back in range(int(high.max()) + 1):
                 if back:
                     sums = mix(sums * np.uint64(0x9E3779B97F4A7C15) + left[:, back - 1])
                 run = np.concatenate([[0], np.cumsum(common < least - back)])
                 live = np.flatnonzero((low <= back) & (back <= high))
-                if len(live) < 2:
+                if len(live) < 1 + (not border):
                     continue
                 key = mix(sums[live] + run[live].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 by = np.lexsort((place[live], ids[live], key))
                 same = key[by][1:] == key[by][:-1]
                 copy = np.concatenate([[False], same])
-                hit = copy | np.concatenate([same, [False]])
+                hit = copy if border else copy | np.concatenate([same, [False]])
                 found = live[by[hit]]
-                out_id.append(ids[found])
-                out_mark.append((place[found] - back) * 2 + copy[hit])
-        ids = np.concatenate(out_id) if out_id else np.zeros(0, np.int64)
-        marks = np.concatenate(out_mark) if out_mark else np.zeros(0, np.int64)
-        again = np.argsort(ids, kind="stable")
-        return pa.Table.from_batches([_grouped(ids[again], marks[again], ["doc_id", "marks"])])
+                out.append((ids[found], (place[found] - back) * 2 + copy[hit], np.zeros(len(found), np.uint64), np.zeros(len(found), np.int64)))
+                if border:
+                    head = np.flatnonzero(~copy)
+                    first = live[by[head]]
+                    name = mix(mix(right[first, least - back - 1] + sums[first] * np.uint64(0xD6E8FEB86659FD93)) + np.uint64(back + 1))
+                    out.append((ids[first], (place[first] - back) * 2, np.maximum(name, np.uint64(1)), np.diff(head, append=len(by))))
+        ids, marks, keys, counts = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+        sure = keys == 0
+        done, open_ = grouped(ids[sure], marks[sure].astype(np.int32), names=("marks",)), grouped(ids[~sure], marks[~sure].astype(np.int32), keys[~sure].view(np.int64), counts[~sure].astype(np.int32), names=("marks", "keys", "counts"))
+        none = [pa.nulls(done.num_rows, pa.list_(k)) for k in (pa.int64(), pa.int32())]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([*done.columns, *none], names=open_.schema.names), open_])
 
     return take
 
 
-def find(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def _across(found: DataFrame) -> DataFrame:
+    """The marks of windows that parts of hot leads left open: equal ones stand under one name, once for each part."""
+    each = Window.partitionBy("key")
+    rows = found.where("keys is not null").select("doc_id", F.explode(F.arrays_zip("marks", "keys", "counts")).alias("x")).select("doc_id", F.col("x.marks").alias("mark"), F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
+    rows = rows.select("doc_id", "mark", F.sum("n").over(each).alias("all"), F.min(F.struct("doc_id", "mark")).over(each).alias("first")).where("all > 1")
+    return rows.select("doc_id", F.array(F.col("mark") + F.when(F.struct("doc_id", "mark") == F.col("first"), 0).otherwise(1)).alias("marks"))
+
+
+def find(docs: DataFrame, least: int = LEAST, hot_rows: int = HOT) -> DataFrame:
     """(doc_id, start, end, copy) as described in repeats."""
     if least < 2 * GRAM:
         raise ValueError(f"least must be at least {2 * GRAM}")
-    spark = docs.sparkSession
+    tables = Written(docs.sparkSession)
     docs = unique_ids(docs)
-    shared = Written(spark).put("shared", exchange(docs, _keys(least), _take_keys, "doc_id long, places array<int>, leads array<long>"))
-    # splitters: bounded by the number of buckets, not by the corpus. Unsigned order is kept by flipping the top bit.
-    buckets = max(1, shuffle_width(spark))
-    shares = [i / buckets for i in range(1, buckets)]
+    shared = tables.put("shared", exchange(docs, text_bytes(docs), _keys(least), _take_keys, "doc_id long, places array<int>, leads array<long>"))
+    # unsigned order is kept by flipping the top bit
     flip = F.expr("x ^ (-9223372036854775807L - 1L)")
-    got = shared.select(F.explode("leads").alias("x")).select(flip.alias("x")).agg(F.percentile_approx("x", shares, 100 * buckets)).first()[0] if shares else None
+    leads = shared.select(F.explode("leads").alias("x")).select(flip.alias("x"))
+    sampled = leads.count()
+    # leads of more rows than a task should sort: one in hot_rows of all at most
+    hot = leads.groupBy("x").count().where(F.col("count") * SAMPLE > hot_rows).toArrow()
+    order = np.argsort(hot["x"].to_numpy())
+    parts = -(-hot["count"].to_numpy()[order] * SAMPLE // hot_rows)
+    hot = hot["x"].to_numpy()[order].view(np.uint64) ^ np.uint64(1 << 63)
+    # splitters: as many as the sampled rows ask for
+    buckets = max(1, -(-sampled * SAMPLE * (8 * least) // SORTED))
+    shares = [i / buckets for i in range(1, buckets)]
+    got = leads.agg(F.percentile_approx("x", shares, 100 * buckets)).first()[0] if shares and sampled else None
     splitters = np.unique(np.array(got or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
-    places = shared.groupBy(F.col("doc_id").alias("_wl_id")).agg(F.flatten(F.collect_list("places")).alias("places"))
+    places = shared.where("places is not null").groupBy(F.col("doc_id").alias("_wl_id")).agg(F.flatten(F.collect_list("places")).alias("places"))
     around = docs.join(places.hint("shuffle_hash"), docs["doc_id"] == places["_wl_id"]).select("doc_id", "text", "places")
-    rows = around.mapInArrow(_suffixes(least, splitters), "bucket int, who binary, words binary")
-    return spans(rows.groupBy("bucket").applyInArrow(_sort(least), "doc_id long, marks array<int>"), least)
+    rows = around.mapInArrow(_suffixes(least, splitters, hot, parts), "bucket int, share int, who binary, words binary")
+    found = rows.groupBy("bucket", "share").applyInArrow(_sort(least), "doc_id long, marks array<int>, keys array<long>, counts array<int>")
+    if len(hot):
+        found = tables.put("sorted", found)
+        found = found.where("keys is null").select("doc_id", "marks").union(_across(found))
+    return spans(found.select("doc_id", "marks"), least)
 
 
 def drop_copies(docs: DataFrame, least: int = LEAST, length: str | None = None) -> DataFrame:
