@@ -50,8 +50,8 @@ def brute_groups(texts, radius):
     return {(i, g, i == g) for g, members in groups.items() if len(members) > 1 for i in members}
 
 
-@pytest.mark.parametrize("radius", [3, 24, 40])
-def test_simhash_finds_exactly_the_groups(spark, radius):
+@pytest.mark.parametrize("radius, most", [(3, simhash.GROUP), (24, 8), (40, simhash.GROUP)])
+def test_simhash_finds_exactly_the_groups(spark, radius, most):
     rng = random.Random(radius)
     texts = [prose(rng, rng.randrange(1, 120)) for _ in range(60)]
     for t in texts[:25]:
@@ -60,7 +60,7 @@ def test_simhash_finds_exactly_the_groups(spark, radius):
             words[rng.randrange(len(words))] = f"new{k}"
         texts.append(" ".join(words))
     texts += texts[:5]
-    got = {tuple(r) for r in simhash.groups(docs(spark, texts), radius).collect()}
+    got = {tuple(r) for r in simhash.groups(docs(spark, texts), radius, most=most).collect()}
     assert got == brute_groups(dict(enumerate(texts)), radius)
 
 

@@ -9,7 +9,8 @@ PARTS partitions of equal width. Fingerprints at most `radius` apart are, for an
 sum(t_i + 1) = radius + 1, at most t_i apart in some partition i. How many pairs lie within t in partition i follows
 exactly from how often each value of the partition occurs, and a dynamic programme gives the partitions the thresholds
 (-1: not probed) that make the sum of these candidates least. Probing: within t_i bits of a partition, one of its
-t_i + 1 parts is equal, so fingerprints are exchanged by (partition, part, value of part); a bucket probes the values
+t_i + 1 parts is equal, so fingerprints are exchanged by (partition, part, value of part), values that more than GROUP
+share in blocks of which every two meet; a bucket probes the values
 within reach of each value and verifies candidates on all bits. No pair is missed and none is dropped, whatever the
 size of a bucket. Equal fingerprints are put together first, and a bucket passes on a spanning forest of the pairs it
 verified, as only the components are asked for.
@@ -36,6 +37,8 @@ from .repeats import unique_ids
 
 BITS, PARTS, WIDTH = 128, 8, 16
 RADIUS = 24
+#: Fingerprints that are probed in one group; where more share a part's value, they meet in blocks of half as many.
+GROUP = 1 << 21
 #: Thresholds considered for one partition.
 _MOST = 6
 
@@ -183,30 +186,56 @@ def _values(lo: np.ndarray, hi: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<u2").astype(np.int64)
 
 
-def _units(thresholds: list[int]) -> list[tuple[int, tuple[int, ...], int]]:
-    """(partition, the bits that are equal, threshold) for each exchange of a fingerprint."""
-    return [(g, part, t) for g, t in enumerate(thresholds) if t >= 0 for part in subparts(t)]
+class Unit:
+    """One exchange of the fingerprints: by the value of a part of a partition's bits, and where more than `most` have the
+    same value, in blocks by a hash of which every two meet."""
 
+    def __init__(self, g: int, part: tuple[int, ...], threshold: int, counts: np.ndarray, most: int):
+        self.g, self.part, self.threshold = g, part, threshold
+        values = np.arange(1 << WIDTH)
+        for bits in range(min(6, len(part)), len(part) + 1):
+            self.bits = part[:bits]
+            sizes = np.bincount(self.keys(values), weights=counts, minlength=1 << bits)
+            if sizes.max() <= most:
+                break
+        self.blocks = np.where(sizes > most, -(-2 * sizes // most), 1).astype(np.int64)
 
-def _send(order: np.ndarray, units: list):
+    def keys(self, values: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(values), np.int64)
+        for k, bit in enumerate(self.bits):
+            key |= (values >> bit & 1) << k
+        return key
+
+
+def _units(thresholds: list[int], counts: np.ndarray, most: int) -> list[Unit]:
+    return [Unit(g, part, t, counts[g], most) for g, t in enumerate(thresholds) if t >= 0 for part in subparts(t)]
+
+
+def _send(order: np.ndarray, units: list[Unit]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             ids, lo, hi = (b.column(c).to_numpy() for c in ("id", "lo", "hi"))
             values = _values(lo, hi, order)
-            rows = []
-            for u, (g, part, _) in enumerate(units):
-                v = values[:, g]
-                key = np.zeros(len(v), np.int64)
-                for k, bit in enumerate(part[:6]):
-                    key |= (v >> bit & 1) << k
-                by = np.argsort(key, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], np.diff(key[by]) > 0, [True]]))
-                for i, j in zip(cuts[:-1], cuts[1:]):
-                    k = by[i:j]
-                    rows.append((u, int(key[k[0]]), np.column_stack([ids[k], lo[k], hi[k]]).tobytes(), v[k].astype(np.uint16).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["unit", "key", "points", "vals"])
+            for u, unit in enumerate(units):
+                v = values[:, unit.g]
+                key, at = unit.keys(v), np.arange(len(v))
+                i = j = np.zeros(len(v), np.int64)
+                blocks = unit.blocks[key]
+                if blocks.max() > 1:
+                    own = (mix(ids.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+                    at = np.repeat(at, blocks)
+                    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    i, j = np.minimum(own[at], other), np.maximum(own[at], other)
+                    key = key[at]
+                by = np.lexsort((j, i, key))
+                cuts = np.flatnonzero(np.concatenate([[True], (np.diff(key[by]) != 0) | (np.diff(i[by]) != 0) | (np.diff(j[by]) != 0), [True]]))
+                rows = []
+                for a, z in zip(cuts[:-1], cuts[1:]):
+                    k, first = at[by[a:z]], by[a]
+                    rows.append((u, int(key[first]), int(i[first]), int(j[first]), np.column_stack([ids[k], lo[k], hi[k]]).tobytes(), v[k].astype(np.uint16).tobytes()))
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int32()) for c in range(4)), *(pa.array([r[c] for r in rows], pa.binary()) for c in (4, 5))], names=["unit", "key", "i", "j", "points", "vals"])
 
     return run
 
@@ -246,12 +275,12 @@ def verified_pairs(points: np.ndarray, value: np.ndarray, reach: np.ndarray, rad
         at += step
 
 
-def _probe(units: list, radius: int):
+def _probe(units: list[Unit], radius: int):
     def take(t: pa.Table) -> pa.Table:
         points = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in t.column("points")])
         value = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in t.column("vals")]).astype(np.int64)
-        _, part, threshold = units[t.column("unit")[0].as_py()]
-        reach = masks(tuple(b for b in range(WIDTH) if b not in part), threshold)
+        unit = units[t.column("unit")[0].as_py()]
+        reach = masks(tuple(b for b in range(WIDTH) if b not in unit.part), unit.threshold)
         order = np.argsort(points[:, 0], kind="stable")  # a component is named after its smallest id
         points, value = points[order], value[order]
         label = np.arange(len(points))
@@ -263,7 +292,7 @@ def _probe(units: list, radius: int):
     return take
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, tables: Written | None = None) -> DataFrame:
+def groups(docs: DataFrame, radius: int = RADIUS, tables: Written | None = None, most: int = GROUP) -> DataFrame:
     tables = tables or Written(docs.sparkSession)
     prints = tables.put("prints", unique_ids(docs).mapInArrow(_prints, "doc_id long, lo long, hi long"))
     points = tables.put("points", prints.groupBy("lo", "hi").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
@@ -286,9 +315,9 @@ def groups(docs: DataFrame, radius: int = RADIUS, tables: Written | None = None)
     counts = np.zeros(PARTS << WIDTH, np.int64)
     counts[seen["at"].to_numpy()] = seen["n"].to_numpy()
     thresholds = allocate([estimate(c) for c in counts.reshape(PARTS, -1)], radius)
-    units = _units(thresholds)
-    sent = points.select("id", "lo", "hi").mapInArrow(_send(order, units), "unit int, key int, points binary, vals binary")
-    edges = sent.groupBy("unit", "key").applyInArrow(_probe(units, radius), "a long, b long")
+    units = _units(thresholds, counts.reshape(PARTS, -1), most)
+    sent = points.select("id", "lo", "hi").mapInArrow(_send(order, units), "unit int, key int, i int, j int, points binary, vals binary")
+    edges = sent.groupBy("unit", "key", "i", "j").applyInArrow(_probe(units, radius), "a long, b long")
     roots = components(edges, tables)
     named = points.join(roots, "id", "left").where("copies > 1 or root is not null").select("lo", "hi", F.coalesce("root", "id").alias("group_id"))
     return prints.join(named, ["lo", "hi"]).select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
