@@ -7,7 +7,7 @@ round and no table of names has to be exchanged; and whether a border between tw
 alone. Equal passages are therefore cut alike wherever they stand, but for a few symbols at their ends. After ROUNDS
 rounds each symbol, taken with its followers up to SPAN words, is a key; keys are counted over the corpus. A window of
 `least` words that occurs twice has such keys inside, so the windows around shared keys are all that can repeat: they
-are hashed (64 bits and 32 more that are compared as well), exchanged and compared, and marked as first or copy.
+are hashed (64 bits and 31 more that are compared as well), exchanged and compared, and marked as first or copy.
 
 How long a symbol can get is bounded (LONGEST words), which bounds what is lost at the ends of a passage: a round costs
 at most two symbols there, in the mean 1.25, so about 8 of 50 words on either side after four rounds, while
@@ -94,19 +94,19 @@ def find(docs: DataFrame, least: int = LEAST) -> DataFrame:
         with np.errstate(over="ignore"):
             # a second, independent sum over the same words
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(w.h + np.uint64(1)) * w.power[:-1])])
-            more = mix((sums[begin + least] - sums[begin]) * w.back[begin]) >> np.uint64(32)
+            more = (mix((sums[begin + least] - sums[begin]) * w.back[begin]) >> np.uint64(33)).astype(np.uint32)
         # windows that occur before in this part are copies; the first of them stands for all
         order, copy = _ordered(key, more, w.ids[w.owner()[begin]], begin)
         again = np.zeros(len(begin), bool)
         again[order] = copy
         many = np.zeros(len(begin), bool)
         many[order[:-1]] = copy[1:]
-        yield from packed(w, key, begin, more << np.uint64(1) | many.astype(np.uint64), again, buckets)
+        yield from packed(w, key, begin, more << np.uint32(1) | many.astype(np.uint32), again, buckets)
 
     def take(t: pa.Table) -> pa.Table:
-        keys, ids, place, more = unpack(t, np.uint64)
-        known, many = keys == KNOWN, (more & np.uint64(1)) > 0
-        order, copy = _ordered(keys, more >> np.uint64(1), ids, place)
+        keys, ids, place, more = unpack(t, np.uint32)
+        known, many = keys == KNOWN, (more & np.uint32(1)) > 0
+        order, copy = _ordered(keys, more >> np.uint32(1), ids, place)
         copy |= known[order]
         found = copy | many[order]
         found[:-1] |= copy[1:] & ~known[order][:-1]
