@@ -15,6 +15,7 @@ from weftline.operators import crawl, fetch, pages
 from weftline.options import CrawlOptions
 from weftline.plans import lineage, rendered
 from weftline.sources import files, web
+from weftline.sources.live import Live
 from weftline.streaming import discover
 
 from ..oracles import SMALL
@@ -179,6 +180,61 @@ def test_live(spark, site):
     assert spark.read.format("weftline_web").option("urls", json.dumps([f"{site}/ok"])).load().first()["error"] is None
 
 
+class _Cards(_Site):
+    """/ has four cards, each of which links to /team, where the addresses are; /picky ones refuse the minimal client."""
+
+    def do_GET(self):
+        type(self).agents.append((self.path, self.headers["User-Agent"]))
+        if self.path == "/picky3" and "Chrome" not in self.headers["User-Agent"]:
+            code, body = 403, b""
+        else:
+            cards = "".join(f"<div class='card'><h2><a href='/picky{k}'>Card number {k}</a></h2><p>Some words about {k}</p></div>" for k in range(4))
+            team = "<a href='/team'>team</a>" if self.path != "/team" else "<p>ann@example.com bob@example.com</p>"
+            code, body = 404 if self.path == "/picky2" else 200, f"<html><body>{cards if self.path == '/' else team}<p>{'x' * 500}</p></body></html>".encode()
+        self.send_response(code)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+
+def _plain(wanted, options):
+    """fetch_live without TLS: the local server speaks HTTP only."""
+    got = web.fetch_live(wanted.withColumn("url", F.regexp_replace("url", "^https:", "http:")), options)
+    return got.withColumn("url", F.regexp_replace("url", "^http:", "https:"))
+
+
+def test_live_crawl(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Cards)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"https://127.0.0.1:{server.server_port}"
+    try:
+        _Cards.agents = []
+        urls = spark.createDataFrame([(f"{base}/",), (f"{base}/",), (None,)], "url string")
+        with Live(spark, _plain) as live:
+            got = sorted(r["url"] for r in crawl.children(urls, live).collect())
+            assert got == [f"{base}/picky{k}" for k in (0, 1, 3)]
+            asked = Counter(path for path, _ in _Cards.agents)
+            assert asked["/"] == asked["/picky0"] == 1 and asked["/picky2"] >= 2
+            assert [r["email"] for r in crawl.emails(urls, live).orderBy("email").collect()] == ["ann@example.com", "bob@example.com"]
+            again = Counter(path for path, _ in _Cards.agents)
+            assert again["/"] == again["/picky0"] == again["/team"] == 1 and again["/picky2"] > asked["/picky2"]
+            assert live.pages().count() == live.pages().select("canonical_url").distinct().count() == 5
+            held = crawl.children(urls, live, CrawlOptions(block_urls=(f"{base}/picky0/",))).collect()
+            assert {r["url"] for r in held} == {f"{base}/picky1", f"{base}/picky3"}
+        assert cli.result(spark, ["children", "https://127.0.0.1:9/"]) == []
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_known_profile_comes_first(spark, site):
+    wanted = spark.createDataFrame([(f"{site}/picky1", "windows")], "url string, profile string")
+    row = web.fetch_live(wanted).first()
+    assert (row["attempts"], row["profile_used"]) == (1, "windows")
+    listed = web.fetch_live(wanted, CrawlOptions(block_urls=(f"{site}/picky1",))).first()
+    assert listed["html"] is None and listed["error"].startswith("blocked by address list")
+
+
 def test_per_host_gate(site):
     fetcher = web.Fetcher(CrawlOptions(per_host=3))
     assert all(r["error"] is None for r in fetcher.all([f"{site}/p{k}" for k in range(30)], fetcher.page))

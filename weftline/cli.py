@@ -1,7 +1,8 @@
 """python -m weftline.cli COMMAND INPUT: one page, or the pages reachable from an address, as JSON.
 
 INPUT is an http(s) address, a file, or - for standard input. --snapshot takes a Parquet folder of pages (url, html) to
-answer fetches from, instead of the network.
+answer fetches from, instead of the network: children then prints what the page links to, fetched or not; without it,
+those that could be fetched.
 """
 
 from __future__ import annotations
@@ -46,12 +47,17 @@ def result(spark: SparkSession, argv: list[str]):
     parser.add_argument("--snapshot")
     args = parser.parse_args(argv)
     if args.command in ("children", "emails"):
-        if not args.snapshot:
-            parser.error(f"{args.command} needs --snapshot")
         urls = spark.createDataFrame([(args.input,)], "url string")
-        run = crawl.discover_children if args.command == "children" else crawl.emails
-        found = run(urls, fetch.snapshot_of(spark.read.parquet(args.snapshot)), CrawlOptions(strategy="fast" if args.fast else "auto"))
-        return sorted(r[0] for r in found.toLocalIterator())
+        options = CrawlOptions(strategy="fast" if args.fast else "auto")
+        if args.snapshot:
+            run = crawl.discover_children if args.command == "children" else crawl.emails
+            found = run(urls, fetch.snapshot_of(spark.read.parquet(args.snapshot)), options)
+            return sorted(r[0] for r in found.toLocalIterator())
+        from .sources.live import Live
+
+        with Live(spark) as live:
+            found = crawl.children(urls, live, options).select("url") if args.command == "children" else crawl.emails(urls, live, options)
+            return sorted(r[0] for r in found.toLocalIterator())
     rows = _input(spark, args)
     if args.command == "fetch":
         if not args.input.startswith("https://"):

@@ -1,4 +1,7 @@
-"""Crawls over a snapshot: hops are joins, what was found is deduplicated before it is fetched."""
+"""Crawls over a snapshot: hops are joins, what was found is deduplicated before it is fetched.
+
+In place of a snapshot each takes a `sources.live.Live`, which fetches a hop's addresses when the hop is planned.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,13 @@ from pyspark.sql import functions as F
 from ..options import CrawlOptions
 from ..plans.lineage import cut
 from . import pages
-from .fetch import DEFAULT, fetch
+from .fetch import DEFAULT
+from .fetch import fetch as from_snapshot
+
+
+def fetch(urls: DataFrame, source, options: CrawlOptions) -> DataFrame:
+    """From a snapshot (a DataFrame) or live."""
+    return from_snapshot(urls, source, options) if hasattr(source, "sparkSession") else source.fetch(urls, options)
 
 
 def discover_children(urls: DataFrame, snapshot: DataFrame, options: CrawlOptions = DEFAULT) -> DataFrame:
@@ -35,6 +44,11 @@ def emails(urls: DataFrame, snapshot: DataFrame, options: CrawlOptions = DEFAULT
     return pages.emails(fetch(second, snapshot, options).select("url", "html"))
 
 
+def entities(urls: DataFrame, snapshot: DataFrame, options: CrawlOptions = DEFAULT) -> DataFrame:
+    """(url, pos, entity): structured data of the pages at urls, of the types that options keep."""
+    return pages.entities(fetch_stream(urls, snapshot, options), options.include_schemas, options.exclude_schemas)
+
+
 def crawl(urls: DataFrame, snapshot: DataFrame, options: CrawlOptions = DEFAULT) -> DataFrame:
     """(url, depth): pages reachable by links in at most options.depth hops, each at its least depth."""
     frontier = pages.distinct_urls(urls, social=True).withColumn("depth", F.lit(0))

@@ -6,10 +6,11 @@ the addresses and one of the pages; Spark broadcasts a side only if its statisti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import native, udfs
+from ..functions.urls import normalize_social
 from ..options import CrawlOptions
 
 DEFAULT = CrawlOptions()
@@ -23,13 +24,28 @@ def snapshot_of(pages: DataFrame) -> DataFrame:
     return rows.groupBy("canonical_url").agg(F.min_by(F.struct("html", "status"), F.struct("url", "html", "status")).alias("p")).select("canonical_url", "p.html", "p.status")
 
 
+def _listed(options: CrawlOptions) -> Column:
+    """Whether the address lists, by their canonical forms, let canonical_url be fetched."""
+    fit = F.lit(True)
+    if options.allow_urls:
+        fit = fit & F.col("canonical_url").isin(*map(normalize_social, options.allow_urls))
+    if options.block_urls:
+        fit = fit & ~F.col("canonical_url").isin(*map(normalize_social, options.block_urls))
+    return fit
+
+
+def only_allowed(wanted: DataFrame, options: CrawlOptions) -> DataFrame:
+    """Of addresses with their canonical_url, those that the host and address lists let be fetched."""
+    if options.allow_domains or options.block_domains:
+        wanted = wanted.where(native.domain_error("canonical_url", options.allow_domains, options.block_domains).isNull())
+    return wanted.where(_listed(options)) if options.allow_urls or options.block_urls else wanted
+
+
 def fetch_results(urls: DataFrame, snapshot: DataFrame, options: CrawlOptions = DEFAULT) -> DataFrame:
     """urls (url, ...) with html and error, one of which is null. Repeated addresses give repeated rows."""
     wanted = urls.withColumn("canonical_url", udfs.normalize_social("url"))
-    if options.allow_urls:
-        wanted = wanted.where(F.col("canonical_url").isin(*options.allow_urls))
-    if options.block_urls:
-        wanted = wanted.where(~F.col("canonical_url").isin(*options.block_urls))
+    if options.allow_urls or options.block_urls:
+        wanted = wanted.where(_listed(options))
     refused = native.domain_error("canonical_url", options.allow_domains, options.block_domains)
     bad = native.response_error("html", "status")
     joined = wanted.withColumn("_refused", refused).join(snapshot.withColumn("_bad", F.coalesce(bad, F.lit(""))), "canonical_url", "left")
@@ -39,13 +55,7 @@ def fetch_results(urls: DataFrame, snapshot: DataFrame, options: CrawlOptions =
 
 def fetch(urls: DataFrame, snapshot: DataFrame, options: CrawlOptions = DEFAULT) -> DataFrame:
     """urls with their html; addresses that can't be had are dropped (an inner join: the filter comes first)."""
-    wanted = urls.withColumn("canonical_url", udfs.normalize_social("url"))
-    if options.allow_domains or options.block_domains:
-        wanted = wanted.where(native.domain_error("canonical_url", options.allow_domains, options.block_domains).isNull())
-    if options.allow_urls:
-        wanted = wanted.where(F.col("canonical_url").isin(*options.allow_urls))
-    if options.block_urls:
-        wanted = wanted.where(~F.col("canonical_url").isin(*options.block_urls))
+    wanted = only_allowed(urls.withColumn("canonical_url", udfs.normalize_social("url")), options)
     good = snapshot.where(native.response_error("html", "status").isNull()).select("canonical_url", "html")
     return wanted.join(good, "canonical_url").select(*urls.columns, "canonical_url", "html")
 

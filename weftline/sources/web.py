@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import native, udfs, urls
-from ..operators.fetch import CASCADE
+from ..operators.fetch import CASCADE, _listed
 from ..options import CrawlOptions
 
 PROFILES = ("minimal", "windows", "macos", "ios", "android")
@@ -102,6 +102,11 @@ class Fetcher:
         with self.lock:
             return self.gates[host] if host else threading.Semaphore()
 
+    def remember(self, profiles: dict[str, str]) -> None:
+        """What is known of these addresses' hosts from earlier; what this fetcher found itself goes before it."""
+        for url, profile in profiles.items():
+            self.good.setdefault(urls.host_of(url) or "", profile)
+
     def page(self, url: str) -> dict:
         began, host, error, attempts = time.monotonic(), urls.host_of(url), "no attempt", 0
         profiles = CASCADE[self.options.strategy]
@@ -137,7 +142,10 @@ class Fetcher:
 
 def _live(wanted: DataFrame, options: CrawlOptions, method: str, kind: str, fields: list[tuple]) -> DataFrame:
     refused = native.domain_error("canonical_url", options.allow_domains, options.block_domains)
-    keyed = wanted.select("url", udfs.normalize_social("url").alias("canonical_url")).withColumn("refused", refused)
+    if options.allow_urls or options.block_urls:
+        refused = F.coalesce(refused, F.when(~_listed(options), F.concat(F.lit("blocked by address list: "), "canonical_url")))
+    profile = F.col("profile") if "profile" in wanted.columns else F.lit(None).cast("string")
+    keyed = wanted.select("url", udfs.normalize_social("url").alias("canonical_url"), profile.alias("profile")).withColumn("refused", refused)
     spread = keyed.repartition(F.coalesce(native.host("canonical_url"), F.lit("")))
     schema = pa.schema([("url", pa.string()), *fields])
 
@@ -145,6 +153,7 @@ def _live(wanted: DataFrame, options: CrawlOptions, method: str, kind: str, fiel
         fetcher = Fetcher(options)
         for b in batches:
             rows = b.to_pylist()
+            fetcher.remember({r["url"]: r["profile"] for r in rows if r["profile"]})
             todo = [r["url"] for r in rows if r["refused"] is None]
             got = iter(fetcher.all(todo, getattr(fetcher, method)))
             found = [dict(next(got)) if r["refused"] is None else {"error": r["refused"]} for r in rows]
@@ -154,7 +163,8 @@ def _live(wanted: DataFrame, options: CrawlOptions, method: str, kind: str, fiel
 
 
 def fetch_live(wanted: DataFrame, options: CrawlOptions | None = None) -> DataFrame:
-    """(url, html, profile_used, duration_ms, attempts, error) of addresses (url); one of html and error is null."""
+    """(url, html, profile_used, duration_ms, attempts, error) of addresses (url); one of html and error is null.
+    A column profile names the client to begin with at the address's host."""
     fields = [("html", pa.string()), ("profile_used", pa.string()), ("duration_ms", pa.int64()), ("attempts", pa.int32()), ("error", pa.string())]
     return _live(wanted, options or CrawlOptions(), "page", "url string, html string, profile_used string, duration_ms long, attempts int, error string", fields)
 
