@@ -87,6 +87,73 @@ def test_allocation_is_best():
     assert abs(price(got) - min(map(price, every))) < 1e-9
 
 
+def bucket_labels(prints, radius, monkeypatch):
+    """Components over all buckets of these distinct fingerprints; how many words of two were compared; how many pairs are
+    candidates by the thresholds."""
+    lo, hi = prints[:, 0].view(np.int64), prints[:, 1].view(np.int64)
+    arranged = simhash.arranged(lo, hi, np.arange(simhash.BITS))
+    values = simhash._values(arranged)
+    counts = np.array([np.bincount(values[:, g], minlength=1 << simhash.WIDTH) for g in range(simhash.PARTS)])
+    costs = [simhash.estimate(c) for c in counts]
+    thresholds = simhash.allocate(costs, radius)
+    compared, real = [0], np.bitwise_count
+
+    def counting(x):
+        compared[0] += np.size(x)
+        return real(x)
+
+    units = simhash._units(thresholds, counts, simhash.GROUP)
+    probe = simhash._probe(units, thresholds, radius)
+    monkeypatch.setattr(simhash.np, "bitwise_count", counting)
+    label = np.arange(len(prints))
+    for u, unit in enumerate(units):
+        key = unit.keys(values[:, unit.g])
+        for k in np.unique(key):
+            rows = np.flatnonzero(key == k)
+            points = np.column_stack([rows, arranged[rows].view(np.int64)]).tobytes()
+            edges = probe(pa.table({"unit": pa.array([u], pa.int32()), "points": pa.array([points], pa.binary())}))
+            label = simhash.forest(len(prints), edges["a"].to_numpy(), edges["b"].to_numpy(), label)
+    monkeypatch.setattr(simhash.np, "bitwise_count", real)
+    return label, compared[0], sum(c[t] for c, t in zip(costs, thresholds) if t >= 0)
+
+
+def clustered(rng, n, centres, flips):
+    prints = rng.integers(0, 1 << 63, (centres, 2)).astype(np.uint64)[rng.integers(0, centres, n)]
+    for _ in range(flips):
+        prints[np.arange(n), rng.integers(0, 2, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    return np.unique(prints, axis=0)
+
+
+@pytest.mark.parametrize("block, many", [(64, 1), (1 << 16, 1), (64, 1 << 40), (1 << 16, 1 << 12)])
+@pytest.mark.parametrize("radius", [5, 24, 40])
+def test_blocks_and_single_pairs_find_the_same(block, many, radius, monkeypatch):
+    prints = clustered(np.random.default_rng(radius), 700, 60, 15)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "MANY", many)
+    label, _, _ = bucket_labels(prints, radius, monkeypatch)
+    a, b = np.nonzero(np.bitwise_count(prints[:, None] ^ prints).sum(2) <= radius)
+    assert (label == simhash.forest(len(prints), a, b, np.arange(len(prints)))).all()
+
+
+def test_candidates_are_compared_once_and_mostly_by_one_word(monkeypatch):
+    prints = clustered(np.random.default_rng(1), 30_000, 30_000, 0)
+    _, compared, candidates = bucket_labels(prints, simhash.RADIUS, monkeypatch)
+    assert compared < 1.2 * candidates
+
+
+def test_a_dense_cluster_is_no_square(monkeypatch):
+    prints = clustered(np.random.default_rng(2), 20_000, 1, 11)
+    label, compared, candidates = bucket_labels(prints, simhash.RADIUS, monkeypatch)
+    assert (label == 0).all() and compared < candidates / 10
+
+
+def test_each_mask_is_looked_for_by_one_unit():
+    for t in range(simhash._MOST + 1):
+        units = simhash._units([t], np.zeros((1, 1 << simhash.WIDTH), np.int64), simhash.GROUP)
+        got = np.sort(np.concatenate([simhash.reach_of(u) for u in units]))
+        assert (got == np.sort(simhash.masks(tuple(range(simhash.WIDTH)), t))).all()
+
+
 def test_simhash_odd_rows(spark):
     odd = odd_docs(spark)
     got = {r["doc_id"]: (r["group_id"], r["kept"]) for r in simhash.groups(odd).collect()}

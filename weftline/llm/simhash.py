@@ -11,8 +11,10 @@ exactly from how often each value of the partition occurs, and a dynamic program
 (-1: not probed) that make the sum of these candidates least. Probing: within t_i bits of a partition, one of its
 t_i + 1 parts is equal, so fingerprints are exchanged by (partition, part, value of part), values that more than GROUP
 share in blocks of which every two meet; a bucket probes the values
-within reach of each value and verifies candidates on all bits. No pair is missed and none is dropped, whatever the
-size of a bucket. Equal fingerprints are put together first, and a bucket passes on a spanning forest of the pairs it
+within reach of each value. A pair that is equal in several parts of a partition is left to the first one's bucket. By the
+same principle one half of the partitions holds the pair to the sum of its own t_i + 1, less 1, so candidates are
+compared on that half, and the few that remain on all bits; values with many candidates are compared in blocks. No pair is
+missed and none is dropped, whatever the size of a bucket. Equal fingerprints are put together first, and a bucket passes on a spanning forest of the pairs it
 verified, as only the components are asked for.
 
 Result of `groups`: (doc_id, group_id, kept), the documents that are in a group with others. Edge cases: documents
@@ -39,6 +41,8 @@ BITS, PARTS, WIDTH = 128, 8, 16
 RADIUS = 24
 #: Fingerprints that are probed in one group; where more share a part's value, they meet in blocks of half as many.
 GROUP = 1 << 21
+#: Pairs that are compared at a time, and pairs of one value with those in its reach from which they are compared in blocks.
+BLOCK, MANY = 1 << 16, 1 << 12
 #: Thresholds considered for one partition.
 _MOST = 6
 
@@ -180,10 +184,15 @@ def subparts(t: int) -> list[tuple[int, ...]]:
     return [tuple(int(b) for b in x) for x in np.array_split(np.arange(WIDTH), t + 1)]
 
 
-def _values(lo: np.ndarray, hi: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The value of each partition of each fingerprint."""
-    bits = _bits(lo, hi)[:, order]
-    return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<u2").astype(np.int64)
+def arranged(lo: np.ndarray, hi: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The fingerprints with their bits in this order, two words each: their distances are the same, and partition g is the
+    16 bits from 16 * g."""
+    return np.ascontiguousarray(np.packbits(_bits(lo, hi)[:, order], axis=1, bitorder="little")).view("<u8")
+
+
+def _values(prints: np.ndarray) -> np.ndarray:
+    """The value of each partition of each arranged fingerprint."""
+    return prints.view("<u2").astype(np.int64)
 
 
 class Unit:
@@ -217,7 +226,8 @@ def _send(order: np.ndarray, units: list[Unit]):
             if not b.num_rows:
                 continue
             ids, lo, hi = (b.column(c).to_numpy() for c in ("id", "lo", "hi"))
-            values = _values(lo, hi, order)
+            prints = arranged(lo, hi, order)
+            values, points = _values(prints), np.column_stack([ids, prints.view(np.int64)])
             for u, unit in enumerate(units):
                 v = values[:, unit.g]
                 key, at = unit.keys(v), np.arange(len(v))
@@ -234,58 +244,111 @@ def _send(order: np.ndarray, units: list[Unit]):
                 rows = []
                 for a, z in zip(cuts[:-1], cuts[1:]):
                     k, first = at[by[a:z]], by[a]
-                    rows.append((u, int(key[first]), int(i[first]), int(j[first]), np.column_stack([ids[k], lo[k], hi[k]]).tobytes(), v[k].astype(np.uint16).tobytes()))
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int32()) for c in range(4)), *(pa.array([r[c] for r in rows], pa.binary()) for c in (4, 5))], names=["unit", "key", "i", "j", "points", "vals"])
+                    rows.append((u, int(key[first]), int(i[first]), int(j[first]), points[k].tobytes()))
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int32()) for c in range(4)), pa.array([r[4] for r in rows], pa.binary())], names=["unit", "key", "i", "j", "points"])
 
     return run
 
 
-def verified_pairs(points: np.ndarray, value: np.ndarray, reach: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (indices) whose values differ by one of the masks and whose fingerprints are within radius."""
+class Ties:
+    """Components of the rows of one bucket, as pairs of them come; label: the smallest row known of each row's component."""
+
+    def __init__(self, rows: int):
+        self.label, self.waiting, self.pairs, self.joins = np.arange(rows), [], 0, 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.waiting.append((a, b))
+        self.pairs += len(a)
+        if self.pairs >= max(1 << 16, len(self.label) // 8):
+            self.join()
+
+    def join(self) -> None:
+        if self.waiting:
+            self.label = forest(len(self.label), *map(np.concatenate, zip(*self.waiting)), self.label)
+            self.waiting, self.pairs, self.joins = [], 0, self.joins + 1
+
+
+def _spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of each span, one span after the other."""
+    return np.arange(length.sum()) + np.repeat(first - (np.cumsum(length) - length), length)
+
+
+def tie_near(prints: np.ndarray, value: np.ndarray, reach: np.ndarray, half: int, limit: int, radius: int) -> np.ndarray:
+    """The label of each row, of the pairs whose values differ by one of the masks, whose words `half` are within limit and
+    whose fingerprints are within radius. Values of many pairs are compared in blocks, the rows of the value with those of
+    all larger ones in reach; of the others, pair after pair is looked up."""
     by = np.argsort(value, kind="stable")
-    v, p = value[by], points[by].view(np.uint64)
-    lo, hi = np.ascontiguousarray(p[:, 1]), np.ascontiguousarray(p[:, 2])
+    v, near, rest = value[by], np.ascontiguousarray(prints[by, half]), np.ascontiguousarray(prints[by, 1 - half])
     count = np.bincount(v, minlength=1 << WIDTH)
     begin = np.concatenate([[0], np.cumsum(count)])
-    at, step = 0, max(1, (1 << 19) // len(reach))
-    while at < len(v):
-        i = np.arange(at, min(at + step, len(v)))
-        other = v[i][:, None] ^ reach
-        n = np.where(other > v[i][:, None], count[other], 0)
-        first = begin[other]
-        same = other == v[i][:, None]
-        first, n = np.where(same, i[:, None] + 1, first), np.where(same, begin[v[i] + 1][:, None] - i[:, None] - 1, n)
-        n, first = n.ravel(), first.ravel()
-        left = np.repeat(i, len(reach))
-        ends = np.cumsum(n)
-        # so many pairs at a time as fit in little memory; a single row's may be more
-        a = 0
-        while a < len(n):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
-            m = n[a:b]
-            total = int(m.sum())
-            if total:
-                x = np.repeat(left[a:b], m)
-                y = np.arange(total) + np.repeat(first[a:b] - (np.cumsum(m) - m), m)
-                d = np.bitwise_count(lo[x] ^ lo[y]).astype(np.uint8) + np.bitwise_count(hi[x] ^ hi[y])
-                ok = d <= radius
-                if ok.any():
-                    yield by[x[ok]], by[y[ok]]
-            a = b
-        at += step
-
-
-def _probe(units: list[Unit], radius: int):
+    ties = Ties(len(v))
+
+    def verify(x: np.ndarray, y: np.ndarray) -> None:
+        ok = np.bitwise_count(near[x] ^ near[y]) + np.bitwise_count(rest[x] ^ rest[y]) <= radius
+        if ok.any():
+            ties.add(by[x[ok]], by[y[ok]])
+
+    def block(rows: np.ndarray, cols: np.ndarray) -> None:
+        """Every row with every column; once all rows are in one component, only with columns that aren't in it."""
+        a, joins = 0, -1
+        while a < len(rows):
+            if joins != ties.joins:
+                joins, own = ties.joins, ties.label[by[rows[a:]]]
+                if (own == own[0]).all():
+                    cols = cols[ties.label[by[cols]] != own[0]]
+            x = rows[a : a + max(1, BLOCK // max(1, len(cols)))]
+            for c in range(0, len(cols), BLOCK):
+                y = cols[c : c + BLOCK]
+                at = np.flatnonzero(np.bitwise_count(near[x][:, None] ^ near[y]) <= limit)
+                if len(at):
+                    verify(x[at // len(y)], y[at % len(y)])
+            a += len(x)
+
+    there = np.flatnonzero(count)
+    for at in range(0, len(there), step := max(1, BLOCK // len(reach))):
+        own = there[at : at + step]
+        other = own[:, None] ^ reach
+        n = np.where(other >= own[:, None], count[other], 0)
+        work = count[own] * n.sum(1)
+        for k in np.flatnonzero(work >= MANY):
+            block(np.arange(begin[own[k]], begin[own[k] + 1]), _spans(begin[other[k]], n[k]))
+        few = np.flatnonzero((work > 0) & (work < MANY))
+        for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(work[few]) // BLOCK)) + 1):
+            k, j = np.nonzero(n[part])
+            k = part[k]
+            rows = count[own[k]]
+            x = _spans(begin[own[k]], rows)
+            same = np.repeat(reach[j] == 0, rows)  # of its own value, a row meets those after it
+            first = np.where(same, x + 1, np.repeat(begin[other[k, j]], rows))
+            length = np.where(same, np.repeat(begin[own[k] + 1], rows) - x - 1, np.repeat(n[k, j], rows))
+            x, y = np.repeat(x, length), _spans(first, length)
+            close = np.flatnonzero(np.bitwise_count(near[x] ^ near[y]) <= limit)
+            verify(x[close], y[close])
+    ties.join()
+    return ties.label
+
+
+def reach_of(unit: Unit) -> np.ndarray:
+    """By what the values of a pair may differ that this unit looks for: a pair that is equal in an earlier part of the
+    partition too is left to that part's unit."""
+    every = masks(tuple(b for b in range(WIDTH) if b not in unit.part), unit.threshold)
+    for part in subparts(unit.threshold):
+        if part == unit.part:
+            return every
+        every = every[(every & sum(1 << b for b in part)) != 0]
+
+
+def _probe(units: list[Unit], thresholds: list[int], radius: int):
+    # as the sum of t + 1 is radius + 1, the half of a pair within reach that has the partition may be held to its own sum
+    limits = [sum(t + 1 for t in half) - 1 for half in (thresholds[: PARTS // 2], thresholds[PARTS // 2 :])]
+
     def take(t: pa.Table) -> pa.Table:
         points = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in t.column("points")])
-        value = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in t.column("vals")]).astype(np.int64)
+        points = points[np.argsort(points[:, 0], kind="stable")]  # a component is named after its smallest id
         unit = units[t.column("unit")[0].as_py()]
-        reach = masks(tuple(b for b in range(WIDTH) if b not in unit.part), unit.threshold)
-        order = np.argsort(points[:, 0], kind="stable")  # a component is named after its smallest id
-        points, value = points[order], value[order]
-        label = np.arange(len(points))
-        for a, b in verified_pairs(points, value, reach, radius):
-            label = forest(len(points), a, b, label)
+        prints = np.ascontiguousarray(points[:, 1:]).view(np.uint64)
+        half = unit.g // (PARTS // 2)
+        label = tie_near(prints, _values(prints)[:, unit.g], reach_of(unit), half, limits[half], radius)
         tied = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": points[tied, 0], "b": points[label[tied], 0]})
 
@@ -305,7 +368,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, tables: Written | None = None,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((PARTS, 1 << WIDTH), np.int64)
         for b in batches:
-            values = _values(b.column("lo").to_numpy(), b.column("hi").to_numpy(), order)
+            values = _values(arranged(b.column("lo").to_numpy(), b.column("hi").to_numpy(), order))
             for g in range(PARTS):
                 total[g] += np.bincount(values[:, g], minlength=1 << WIDTH)
         g, v = np.nonzero(total)
@@ -316,8 +379,8 @@ def groups(docs: DataFrame, radius: int = RADIUS, tables: Written | None = None,
     counts[seen["at"].to_numpy()] = seen["n"].to_numpy()
     thresholds = allocate([estimate(c) for c in counts.reshape(PARTS, -1)], radius)
     units = _units(thresholds, counts.reshape(PARTS, -1), most)
-    sent = points.select("id", "lo", "hi").mapInArrow(_send(order, units), "unit int, key int, i int, j int, points binary, vals binary")
-    edges = sent.groupBy("unit", "key", "i", "j").applyInArrow(_probe(units, radius), "a long, b long")
+    sent = points.select("id", "lo", "hi").mapInArrow(_send(order, units), "unit int, key int, i int, j int, points binary")
+    edges = sent.groupBy("unit", "key", "i", "j").applyInArrow(_probe(units, thresholds, radius), "a long, b long")
     roots = components(edges, tables)
     named = points.join(roots, "id", "left").where("copies > 1 or root is not null").select("lo", "hi", F.coalesce("root", "id").alias("group_id"))
     return prints.join(named, ["lo", "hi"]).select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
