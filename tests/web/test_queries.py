@@ -19,7 +19,7 @@ def test_query_runs(spark, name):
     assert got.count() == 50 and got.where(f"{got.columns[1]} = ''").isEmpty()
 
 
-@pytest.mark.parametrize("name", ["fetch_fast", "fetch_errors"])
+@pytest.mark.parametrize("name", ["fetch_fast", "stream_fetch", "fetch_errors"])
 def test_of_pages_with_one_address_the_first_is_taken(spark, tmp_path, name):
     html = ["<html>" + "z" * 600, "<html>" + "a" * 700, "<html>" + "b" * 800, "<html>" + "c" * 900]
     urls = ["http://a.example.com/x", "http://a.example.com/x", "https://b.example.com/y", "http://www.b.example.com/y"]
