@@ -1,6 +1,7 @@
 """URL, tree, link, structured-data and text kernels on plain values."""
 
 import cProfile
+import gc
 import pstats
 import re
 import time
@@ -294,3 +295,13 @@ def test_child_links_take_few_steps_a_card():
     found = profile.runcall(udfs._parse, f"<!DOCTYPE html><html><body><section>{cards}</section></body></html>", "https://s.test/c/1", ("children",))
     assert found == [[f"https://s.test/c/o/{k}/" for k in range(1000)]]
     assert pstats.Stats(profile).total_calls < 450 * 1000
+
+
+def test_no_tree_outlives_its_page():
+    gc.collect()
+    gc.disable()
+    try:
+        udfs._parse("<html><body>" + "<div><p>x</p></div>" * 100, "https://s.test/", ("children", "emails"))
+        assert not any(type(x) is dom.Element for x in gc.get_objects())
+    finally:
+        gc.enable()

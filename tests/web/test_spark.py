@@ -106,6 +106,16 @@ def test_one_parse_a_page(spark):
     assert "ReadSchema: struct<url:string>" in wanted._jdf.queryExecution().executedPlan().toString()
 
 
+def test_no_filter_runs_a_function_again(spark):
+    """A node in the plan for each call of a function: each is a Python worker a task."""
+    frame = rendered.table(spark, SMALL, "pages")
+    nodes = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert nodes(pages.distinct_urls(frame)) == 1
+    assert nodes(fetch.fetch(frame.select("url"), fetch.snapshot_of(frame))) == 2
+    seeds = spark.createDataFrame([("https://geo.example.com/r/1",)], "url string")
+    assert nodes(crawl.emails(seeds, fetch.snapshot_of(rendered.nations(spark, SMALL)))) == 9
+
+
 def test_fetching(spark):
     snapshot = fetch.snapshot_of(spark.createDataFrame([("http://www.a.test/", LONG, 200), ("https://a.test", "later", 200), ("https://b.test", LONG, 500), ("https://c.test/x", LONG, 200), (None, LONG, 200)], "url string, html string, status int"))
     wanted = spark.createDataFrame([("a.test",), ("https://a.test/#x",), ("https://b.test",), ("https://c.test/x",), ("https://d.test",), (None,)], "url string")

@@ -17,10 +17,10 @@ def discover_children(urls: DataFrame, snapshot: DataFrame, options: CrawlOption
     """(url): each child page once for the whole stream. With ttl, urls has an event time `ts`, and an address may come
     again after that long, which bounds the state."""
     time = ["ts"] if ttl else []
-    parents = urls.select(udfs.normalize_url("url").alias("url"), *time).where("url <> ''")
+    parents = urls.select(udfs.once(udfs.normalize_url("url")).alias("url"), *time).where("url <> ''")
     parents = parents.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["url"]) if ttl else parents.dropDuplicates(["url"])
     found = pages.child_links(fetch(parents, snapshot, options).select("url", "html", *time))
-    out = found.select(udfs.normalize_social("link").alias("url"), *time).where("url <> ''")
+    out = found.select(udfs.once(udfs.normalize_social("link")).alias("url"), *time).where("url <> ''")
     return out.dropDuplicatesWithinWatermark(["url"]) if ttl else out.dropDuplicates(["url"])
 
 
